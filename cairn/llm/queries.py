@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.functions.shared import cut
 from cairn.functions.text import WHITE_SPACE
+from cairn.llm.mixing import mix, mix_shares
+from cairn.llm.spans import shared_share, shared_spans
+from cairn.llm.tokens import encode_corpus, token_counts
 from cairn.llm.topn import top_n
 from cairn.sources.tables import table
 
@@ -19,12 +23,42 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "doc_101_labeled"), 10).select("query", "chunk_id")
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return cut(token_counts(table(spark, d, "documents"), ["doc_id", "source"]))
+
+
+def p7_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_shares(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans(table(spark, d, "documents"))
+
+
+def p8_share(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return shared_share(docs, shared_spans(docs))
+
+
 _BEST = f"""with best as (
     select trim(query, {_WS}) as query, chunk_id, max(score) as score from doc_101_labeled
     where chunk_id is not null and score is not null and not isnan(score) and trim(query, {_WS}) <> '' group by 1, 2),
 ranked as (select *, cast(row_number() over (partition by query order by score desc, chunk_id) as integer) as rnk from best)"""
 
-QUERIES = {"p1_found": p1_found, "p1_top": p1_top}
+QUERIES = {
+    "p1_found": p1_found, "p1_top": p1_top,
+    "p6_ids": p6_ids,
+    "p7_repeats": p7_repeats, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_share": p8_share,
+}
 
 SQL = {
     "p1_found": f"{_BEST} select query, chunk_id from ranked where rnk <= 10",

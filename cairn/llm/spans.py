@@ -179,7 +179,8 @@ def shared_spans(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text
     placed = distinct.join(sizes, "a")
     bucket = F.pmod(F.xxhash64("a"), F.lit(2 * shards))
     usual = placed.filter(F.col("size") <= shard).select("h", "seg", "low", "high", bucket.alias("bucket"))
-    runs = usual.groupBy("bucket").applyInPandas(partial(_search, least=least), "h binary, x int, y int")
+    # the number is given so that small shuffle blocks aren't merged into few tasks: the work is in the tasks' CPU
+    runs = usual.repartition(2 * shards, "bucket").groupBy("bucket").applyInPandas(partial(_search, least=least), "h binary, x int, y int")
 
     hot = placed.filter(F.col("size") > shard).select("h", "seg", "low", "high").repartition("h")
     windows = hot.mapInArrow(partial(_hot_windows, least=least), f"w binary, h binary, x int, low {id_type}, high {id_type}")

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.functions.shared import cut
 from cairn.functions.text import WHITE_SPACE
 from cairn.llm.mixing import mix, mix_shares
+from cairn.llm.neardup import groups, item_pairs, near_duplicates
 from cairn.llm.spans import shared_share, shared_spans
 from cairn.llm.tokens import encode_corpus, token_counts
 from cairn.llm.topn import top_n
+from cairn.llm.truncation import endings_of, length_hazards, text_values, truncated, truncation_report
 from cairn.sources.tables import table
 
 _WS = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
@@ -23,6 +25,33 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "doc_101_labeled"), 10).select("query", "chunk_id")
 
 
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    ent, rel = table(spark, d, "entities"), table(spark, d, "relations")
+    return text_values([("entities", ent, ["entity_name", "description"]), ("relations", rel, ["description"])])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(_values(spark, d)).filter("cut").select("ref_table", "row_id", "field")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_report(truncated(_values(spark, d)), table(spark, d, "kg_metadata"))
+
+
+def p4_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return length_hazards(cut(endings_of(_values(spark, d))))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = item_pairs(*near_duplicates(table(spark, d, "doc_101_labeled")))
+    return pairs.withColumnsRenamed({"item_a": "chunk_id_a", "item_b": "chunk_id_b"})
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = near_duplicates(table(spark, d, "doc_101_labeled"))
+    return groups(cut(pairs), members).withColumnRenamed("item", "chunk_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -55,6 +84,8 @@ ranked as (select *, cast(row_number() over (partition by query order by score d
 
 QUERIES = {
     "p1_found": p1_found, "p1_top": p1_top,
+    "p4_found": p4_found, "p4_report": p4_report, "p4_lengths": p4_lengths,
+    "p5_found": p5_found, "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p7_repeats": p7_repeats, "p7_shares": p7_shares,
     "p8_found": p8_found, "p8_share": p8_share,

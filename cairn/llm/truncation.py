@@ -117,22 +117,27 @@ MEASURES = ["characters", "bytes", "characters before a sign", "bytes before a s
 
 
 def length_hazards(endings: DataFrame) -> DataFrame:
-    """The discrete hazard of each length and whether it is a limit: kind, measure, length, n, at_risk, hazard, expected, bound, limit.
+    """The hazard of each length and whether it is a limit: kind, measure, length, n, at_risk, hazard, expected, bound, limit.
 
-    The hazard of a length is the share of the values that reach it which end there. ``expected`` is how many would
-    end there at the hazard of the lengths around it, ``bound`` the Chernoff bound of the chance of n or more if that
+    The hazard of a length is the share of the values that reach it which end there unfinished (a ratio under
+    UNFINISHED_SIGNED and no stop): whole values end at favoured lengths, too, so they are only at risk.
+    ``expected`` is how many would end there at the hazard of the lengths around it, ``bound`` the Chernoff bound of the chance of n or more if that
     is the mean of a Poisson count. By Benjamini and Hochberg's procedure over all lengths of all fields and
     measures, those with a bound small enough for the false-discovery rate and LIFT times the expected number are limits.
     The windows run over counts per length, which are no more than the longest value has characters.
     """
-    each = endings.select("kind", F.posexplode("lengths").alias("measure", "length"))
-    n = each.groupBy("kind", "measure", "length").agg(F.count("*").alias("n"))
+    unfinished = ~F.col("stop") & (F.coalesce("ratio", F.lit(1.0)) < UNFINISHED_SIGNED)
+    each = endings.select("kind", unfinished.alias("u"), F.posexplode("lengths").alias("measure", "length"))
+    n = each.groupBy("kind", "measure", "length").agg(F.count_if("u").alias("n"), F.count("*").alias("all"))
     by = Window.partitionBy("kind", "measure").orderBy("length")
-    n = n.withColumn("at_risk", F.sum("n").over(by.rangeBetween(0, Window.unboundedFollowing)))
-    around = F.sum("n").over(by.rangeBetween(-NEIGHBOURS, NEIGHBOURS)) - F.col("n")
+    n = n.withColumn("at_risk", F.sum("all").over(by.rangeBetween(0, Window.unboundedFollowing))).drop("all")
     n = n.withColumn("hazard", F.col("n") / F.col("at_risk"))
-    n = n.withColumn("expected", (around + 1) / (2.0 * NEIGHBOURS))
-    over = F.col("n") * F.ln(F.col("n") / F.col("expected")) - F.col("n") + F.col("expected")
+    # the neighbours' hazard by their events and risks; a length that no value has adds no event and about the same risk
+    near = by.rangeBetween(-NEIGHBOURS, NEIGHBOURS)
+    events, present = F.sum("n").over(near) - F.col("n"), F.count("*").over(near) - 1
+    risk = F.sum("at_risk").over(near) - F.col("at_risk") + F.col("at_risk") * (2 * NEIGHBOURS - present)
+    n = n.withColumn("expected", (events + 1) / risk * F.col("at_risk"))
+    over = F.col("n") * F.ln(F.greatest(F.col("n"), F.lit(1)) / F.col("expected")) - F.col("n") + F.col("expected")
     n = n.withColumn("bound", F.when(F.col("n") > F.col("expected"), F.exp(-over)).otherwise(1.0))
     every = Window.partitionBy(F.lit(1))
     n = n.withColumn("place", F.row_number().over(every.orderBy("bound", "kind", "measure", "length")))
@@ -170,7 +175,8 @@ def cut_values(endings: DataFrame, hazards: DataFrame) -> DataFrame:
     """
     # in bytes, a cut text may fall short of its limit by a part of a character
     short = F.when(F.col("measure") % 2 == 1, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
-    limits = hazards.filter("limit").select("kind", F.col("measure").alias("m"), (F.col("length") - F.explode(short)).alias("l"))
+    limits = hazards.filter("limit").select("kind", "measure", "length", F.explode(short).alias("less"))
+    limits = limits.select("kind", F.col("measure").alias("m"), (F.col("length") - F.col("less")).alias("l")).distinct()
     at = endings.select("kind", "value", F.posexplode("lengths").alias("m", "l")).join(limits, ["kind", "m", "l"], "left_semi")
     at = at.select("kind", "value").distinct().withColumn("at_limit", F.lit(True))
     e = endings.filter("not stop").join(at, ["kind", "value"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))

@@ -70,7 +70,7 @@ def _(spark, d):
     return Y.compaction_plan(g, ["day"])
 
 
-@query("A19_capacity", "select label, count(*) as n, max(len(embedding)) * count(*) * 6.0 as bytes from embeddings group by 1")
+@query("A19_capacity", "select label, count(*) as n, cast(max(len(embedding)) * count(*) * 6.0 as double) as bytes from embeddings group by 1")
 def _(spark, d):
     g = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"))
     return g.select("label", "n", Y.memory_bytes(F.col("dim"), F.col("n")).alias("bytes"))

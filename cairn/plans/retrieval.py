@@ -113,7 +113,7 @@ def _(spark, d):
     return E.verdicts(E.means(_metrics(spark, d), _NAMES))
 
 
-@query("A15_ab_split", "select user_id % 2 as arm, count(*) as n, round(avg(value), 6) as mean_value, count_if(user_id % 10 = 0) as n_canary from events group by 1")
+@query("A15_ab_split", "select user_id % 2 as arm, count(*) as n, round(avg(value), 6) as mean_value, cast(count_if(user_id % 10 = 0) as bigint) as n_canary from events group by 1")
 def _(spark, d):
     e = table(spark, d, "events").groupBy((F.col("user_id") % 2).alias("arm"))
     return e.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.count_if(F.col("user_id") % 10 == 0).alias("n_canary"))
@@ -177,13 +177,13 @@ def _(spark, d):
     return P.manifest(old, new, "document_id")
 
 
-@query("A05_A06_label_counts", """select document_id, count(*) as n, count_if(type = 'positive') as n_positive, count_if(type = 'negative') as n_negative, count_if(coalesce(type, '') not in ('positive', 'negative')) as n_unknown from doc_101_labeled group by 1""")
+@query("A05_A06_label_counts", """select document_id, count(*) as n, cast(count_if(type = 'positive') as bigint) as n_positive, cast(count_if(type = 'negative') as bigint) as n_negative, cast(count_if(coalesce(type, '') not in ('positive', 'negative')) as bigint) as n_unknown from doc_101_labeled group by 1""")
 def _(spark, d):
     t = F.coalesce("type", F.lit(""))
     return table(spark, d, "doc_101_labeled").groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(t == "positive").alias("n_positive"), F.count_if(t == "negative").alias("n_negative"), F.count_if(~t.isin("positive", "negative")).alias("n_unknown"))
 
 
-@query("A09_outcomes", "select status, count(*) as n, sum(entity_count) as n_entities from (select distinct * from kg_metadata) group by 1")
+@query("A09_outcomes", "select status, count(*) as n, cast(sum(entity_count) as bigint) as n_entities from (select distinct * from kg_metadata) group by 1")
 def _(spark, d):
     return table(spark, d, "kg_metadata").distinct().groupBy("status").agg(F.count("*").alias("n"), F.sum("entity_count").alias("n_entities"))
 
@@ -230,7 +230,7 @@ def _(spark, d):
     return table(spark, d, "relations").join(ids, "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("n"))
 
 
-@query("A20_tables_per_document", f"""select document_id, count(*) as n_tables, sum(length(coalesce(nullif({T % 'content'}, ''), text))) as n_chars from (select distinct document_id, chunk_id, content, text from doc_101_labeled where chunk_id is not null) group by 1""")
+@query("A20_tables_per_document", f"""select document_id, count(*) as n_tables, cast(sum(length(coalesce(nullif({T % 'content'}, ''), text))) as bigint) as n_chars from (select distinct document_id, chunk_id, content, text from doc_101_labeled where chunk_id is not null) group by 1""")
 def _(spark, d):
     h = table(spark, d, "doc_101_labeled").filter("chunk_id is not null").select("document_id", "chunk_id", "content", "text").distinct()
     return h.groupBy("document_id").agg(F.count("*").alias("n_tables"), F.sum(F.length(F.coalesce(F.nullif(strip("content"), F.lit("")), "text"))).alias("n_chars"))

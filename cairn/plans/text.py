@@ -206,7 +206,7 @@ def _(spark, d):
 
 
 @query("M11_headings", """with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents)
-    select doc_id, count_if(regexp_matches(line, '^#{1,4} ')) as n_headings, count_if(regexp_matches(line, '^[-*] ')) as n_items, count_if(contains(line, '**')) as n_bold, count(*) as n_lines from l group by doc_id""")
+    select doc_id, cast(count_if(regexp_matches(line, '^#{1,4} ')) as bigint) as n_headings, cast(count_if(regexp_matches(line, '^[-*] ')) as bigint) as n_items, cast(count_if(contains(line, '**')) as bigint) as n_bold, count(*) as n_lines from l group by doc_id""")
 def _(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     count = lambda p: F.count_if(p)

@@ -27,6 +27,8 @@ SIGNS = re.compile(
     r"\((?:more|cut|cont|truncated|continued)[^()]*\)?|�+|&[a-z#][a-z0-9]{0,5};?|<[a-z/]{0,4}|\\[nu]?[0-9a-f]{0,4}|-{2,}|—+|>{2,}))+\s*$"
 )
 STOPS = "。.!?！？"
+# Words whose ellipsis is the author's own.
+OPEN_LISTS = re.compile(r"(?:等等?|\b(?:etc|and so on|and so forth))$")
 
 
 def _bare(value: str) -> tuple[str, bool]:
@@ -98,7 +100,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each value its lengths, whether it ends in a stop or with a sign of a cut, and the contexts it ends with."""
+    """Of each value its lengths, whether it ends in a stop (or an open list) or with a sign of a cut, and the contexts it ends with."""
     for batch in batches:
         values, kinds = batch.column("value").to_pylist(), batch.column("kind").to_numpy(zero_copy_only=False)
         pairs = [_bare(v) for v in values]
@@ -108,7 +110,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders, last = _contexts(bare, kinds)
         ctx = np.stack([x[last] for x in orders], axis=1).view(np.int64)
         lengths = [[len(v), len(v.encode("utf-8", "replace")), len(b), len(b.encode("utf-8", "replace"))] for v, b in zip(values, bare)]
-        stop = [b[-1:] in STOPS for b in bare]
+        stop = [b[-1:] in STOPS or bool(OPEN_LISTS.search(b)) for b in bare]
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) * ORDERS + 1, ORDERS, dtype=np.int32)), pa.array(ctx.reshape(-1)))
         yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array(lengths, pa.list_(pa.int32())), pa.array(stop), pa.array([s for _, s in pairs]), flat], names=["kind", "value", "lengths", "stop", "sign", "ctx"])
 

@@ -22,3 +22,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder and read from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Into how many parts rows are divided before a step whose work isn't in proportion to their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores; a table of many files or splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import chunks as C
+from cairn.functions.shared import spread
 from cairn.functions.text import strip
 
 
@@ -51,4 +52,4 @@ def chunked(docs: DataFrame, strategy: str = "fixed", id_col: str = "doc_id", te
     if options.get("overlap", 200) >= options.get("size", 1000):
         raise ValueError("overlap must be less than size")
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text).alias("text")).mapInArrow(partial(_cut, f=how, id_col=id_col), f"`{id_col}` {kind}, idx int, chunk string")
+    return spread(docs.select(id_col, F.col(text).alias("text"))).mapInArrow(partial(_cut, f=how, id_col=id_col), f"`{id_col}` {kind}, idx int, chunk string")

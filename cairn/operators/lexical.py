@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.shared import cut, spread
 from cairn.operators.ranking import top_per_group
 
 #: A term is a run of ASCII letters and digits, or one Chinese character.
 TERM = r"([a-z0-9]+|[\x{4e00}-\x{9fff}])"
+PATTERN = re.compile("[a-z0-9]+|[\u4e00-\u9fff]")
 K1, B = 1.5, 0.75
 
 
@@ -18,26 +26,54 @@ def terms(c: Column | str) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(col), F.lit(TERM), F.lit(1)), F.array().cast("array<string>"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text: str, digits: int = 6) -> DataFrame:
+def _count(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at, size, term, n = [], [], [], []
+        for k, t in enumerate(b.column("text").to_pylist()):
+            all_ = PATTERN.findall(t.lower()) if t else []
+            found = Counter(x for x in all_ if x in wanted)
+            for x, m in ((None, 0), *found.items()):
+                at.append(k)
+                size.append(len(all_))
+                term.append(x)
+                n.append(m)
+        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(size, pa.int64()), pa.array(term, pa.string()), pa.array(n, pa.int64())], names=["id", "len", "term", "tf"])
+
+
+def term_counts(queries: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """How often each document has each term of the queries: id, len (all its terms), term, tf; a null term once per document.
+
+    queries: query_id, query; a stated set that doesn't grow with the documents, so its terms go with the task. Each
+    document is read once, and a row per document and matching term is all that is kept.
+    """
+    wanted = frozenset(r.term for r in queries.select(F.explode(terms("query")).alias("term")).distinct().collect())
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return cut(rows.mapInArrow(partial(_count, wanted=wanted), f"id {kind}, len bigint, term string, tf bigint"))
+
+
+def bm25(queries: DataFrame, counts: DataFrame, digits: int = 6) -> DataFrame:
     """BM25 scores of all documents with a term of the query: query_id, id, score.
 
-    queries: query_id, query; a stated set that doesn't grow with the documents, whose terms are looked for in every
-    document. Only terms of some query are exploded, counted per document inside its row before anything is shuffled,
-    and weighed with idf ln(1 + (N - df + 0.5) / (df + 0.5)). Documents without terms have length 0 and match nothing.
+    counts: of term_counts. The idf is ln(1 + (N - df + 0.5) / (df + 0.5)). Documents without terms have length 0 and
+    match nothing.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    wanted = asked.agg(F.coalesce(F.collect_set("term"), F.array().cast("array<string>")).alias("wanted"))
-    all_ = docs.select(F.col(id_col).alias("id"), terms(text).alias("terms")).withColumn("len", F.size("terms"))
-    stats = all_.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    held = all_.join(F.broadcast(wanted)).select("id", "len", F.filter("terms", lambda t: F.array_contains("wanted", t)).alias("terms"))
-    tf = held.select("id", "len", F.explode("terms").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    stats = counts.filter("term is null").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    tf = counts.filter("term is not null")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = tf.join(F.broadcast(df.join(F.broadcast(stats))), "term")
+    # as many rows as the queries have terms
+    weights = asked.join(df, "term").join(F.broadcast(stats))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    weighed = weighed.select("id", "term", part.alias("part"))
-    scores = weighed.join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), digits).alias("score"))
-    return scores
+    return tf.join(F.broadcast(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
+
+
+def matched_share(queries: DataFrame, counts: DataFrame, digits: int = 6) -> DataFrame:
+    """The share of the query's different terms that each document has: query_id, id, score; documents with none have no row."""
+    asked = queries.select("query_id", F.array_distinct(terms("query")).alias("t")).select("query_id", F.size("t").alias("of"), F.explode("t").alias("term"))
+    hit = counts.filter("term is not null").join(F.broadcast(asked), "term")
+    return hit.groupBy("query_id", "id", "of").agg(F.count("*").alias("n")).select("query_id", "id", F.round(F.col("n") / F.col("of"), digits).alias("score"))
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:
@@ -49,6 +85,6 @@ def multi_field(queries: DataFrame, docs: DataFrame, id_col: str, boosts: dict[s
     """Scores over several fields, the best boosted one counting: query_id, id, score."""
     out = None
     for field, boost in boosts.items():
-        s = bm25(queries, docs, id_col, field, digits).withColumn("score", F.col("score") * boost)
+        s = bm25(queries, term_counts(queries, docs, id_col, field), digits).withColumn("score", F.col("score") * boost)
         out = s if out is None else out.unionByName(s)
     return out.groupBy("query_id", "id").agg(F.round(F.max("score"), digits).alias("score"))

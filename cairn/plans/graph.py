@@ -8,7 +8,7 @@ from cairn.functions.text import WHITE_SPACE, is_blank, strip
 from cairn.operators import graph as G
 from cairn.operators.references import key_of
 from cairn.plans.registry import registry
-from cairn.sources.tables import table
+from cairn.sources.tables import questions, table
 
 QUERIES, SQL, query = registry()
 WS = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
@@ -133,7 +133,7 @@ _RANK = "select query, kind, key, score, cast(row_number() over (partition by qu
 
 
 def _queries(spark):
-    return spark.createDataFrame([(w,) for w in _WORDS], "query string")
+    return questions(spark, _WORDS).select("query")
 
 
 def _local(spark, d):

@@ -12,7 +12,7 @@ from cairn.operators import pipeline as P
 from cairn.operators.ranking import top_per_group
 from cairn.operators.references import key_of
 from cairn.plans.registry import registry
-from cairn.sources.tables import table
+from cairn.sources.tables import questions, table
 
 QUERIES, SQL, query = registry()
 WS = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
@@ -38,12 +38,13 @@ _RANK = "select query_id, id, score, cast(row_number() over (partition by query_
 
 
 def _asked(spark):
-    return spark.createDataFrame(list(enumerate(_ASKED)), "query_id bigint, query string")
+    return questions(spark, _ASKED)
 
 
 @query("X01_X02_bm25", f"with {_ASK}, {_bm25('documents', 'doc_id', 'text')} {_RANK % ('scores', 20)}")
 def _(spark, d):
-    return L.best(L.bm25(_asked(spark), table(spark, d, "documents"), "doc_id", "text"), 20)
+    counts = L.term_counts(_asked(spark), table(spark, d, "documents"), "doc_id", "text")
+    return L.best(L.bm25(_asked(spark), counts), 20)
 
 
 @query("X01_boosted_fields", f"""with {_ASK}, {_bm25('entities', 'row_id', 'entity_name', 'a')}, {_bm25('entities', 'row_id', 'description', 'b')},
@@ -61,10 +62,10 @@ def _(spark, d):
     dense as (select query_id, doc_id as id, round(len(list_intersect(list_distinct({_TERMS % 'query'}), list_distinct({_TERMS % "coalesce(text, '')"}))) / len(list_distinct({_TERMS % 'query'})), 6) as score from ask, documents),
     f as (select query_id, id, round(0.7 * dense.score + 0.3 * round(coalesce(scores.score, 0) / m, 6), 6) as score from dense left join scores using (query_id, id) join top using (query_id) where dense.score > 0) {_RANK % ('f', 10)}""")
 def _(spark, d):
-    docs = table(spark, d, "documents")
-    sparse = L.bm25(_asked(spark), docs, "doc_id", "text")
+    counts = L.term_counts(_asked(spark), table(spark, d, "documents"), "doc_id", "text")
+    sparse = L.bm25(_asked(spark), counts)
     top = sparse.groupBy("query_id").agg(F.max("score").alias("m"))
-    dense = docs.join(F.broadcast(_asked(spark))).select("query_id", F.col("doc_id").alias("id"), E.overlap("query", "text").alias("dense")).filter("dense > 0")
+    dense = L.matched_share(_asked(spark), counts).withColumnRenamed("score", "dense")
     f = dense.join(sparse, ["query_id", "id"], "left").join(F.broadcast(top), "query_id")
     s = F.round(0.7 * F.col("dense") + 0.3 * F.round(F.coalesce("score", F.lit(0.0)) / F.col("m"), 6), 6)
     return L.best(f.select("query_id", "id", s.alias("score")), 10)

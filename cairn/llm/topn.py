@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import is_blank, strip
 
+#: Into how many parts a heavy group is spread where it is marked as one.
+SALTS = 64
+
 
 def best_scores(hits: DataFrame, group: str = "query", item: str = "chunk_id", score: str = "score") -> DataFrame:
     """One row per group and item with the highest score it got.
@@ -37,18 +40,19 @@ def top_n(
     Groups are counted exactly. A group of more than ``heavy`` items is cut into salted slices of about
     ``slice_rows`` items that are range-partitioned and sorted apart from each other; each slice keeps n and the
     slices of a group meet in a window of at most n rows each. All other groups go through one ordinary window.
-    The counts are joined without a hint: Spark broadcasts them only if it measures them as small.
+    The heavy groups are marked by a join on group and salt, so no task reads a whole one; it has no hint: Spark
+    broadcasts their list only if it measures it as small.
     """
-    best = best_scores(hits, group, item, score)
-    counts = best.groupBy("grp").agg(F.count("*").alias("size"))
-    tagged = best.join(counts, "grp")
+    best = best_scores(hits, group, item, score).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+    large = best.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > heavy)
+    large = large.select("grp", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("part"))
+    marked = best.join(large, ["grp", "part"], "left")
     order = [F.col("score").desc(), F.col("item").asc()]
 
-    light = tagged.filter(F.col("size") <= heavy).select("grp", "item", "score")
-    slices = F.ceil(F.col("size") / slice_rows)
+    light = marked.filter("size is null").select("grp", "item", "score")
     hot = (
-        tagged.filter(F.col("size") > heavy)
-        .withColumn("salt", F.pmod(F.xxhash64("item"), slices))
+        marked.filter("size is not null")
+        .withColumn("salt", F.pmod(F.xxhash64("item", F.lit(1)), F.ceil(F.col("size") / slice_rows)))
         .select("grp", "salt", "item", "score")
         .repartitionByRange("grp", "salt")
         .withColumn("r", F.row_number().over(Window.partitionBy("grp", "salt").orderBy(*order)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.shared import cut
+from cairn.functions.shared import cut, tasks
 from cairn.functions.text import WHITE_SPACE, is_blank
 
 #: Longest ending that is looked up, and the weight of an ending's share by one symbol less.
@@ -27,6 +27,7 @@ SIGNS = re.compile(
     r"\((?:more|cut|cont|truncated|continued)[^()]*\)?|�+|&[a-z#][a-z0-9]{0,5};?|<[a-z/]{0,4}|\\[nu]?[0-9a-f]{0,4}|-{2,}|—+|>{2,}))+\s*$"
 )
 STOPS = "。.!?！？"
+BRACKETS = ("()", "（）", "[]", "【】", "「」", "《》")
 # Words whose ellipsis is the author's own.
 OPEN_LISTS = re.compile(r"(?:等等?|\b(?:etc|and so on|and so forth))$")
 
@@ -38,6 +39,13 @@ def _bare(value: str) -> tuple[str, bool]:
     return (w, True) if len(w) < len(v) and w else (v, False)
 
 
+def _ended(bare: str) -> bool:
+    """Whether a text ends in a stop outside of brackets, or as an open list does."""
+    if OPEN_LISTS.search(bare):
+        return True
+    return bare[-1:] in STOPS and all(bare.count(a) <= bare.count(b) for a, b in BRACKETS)
+
+
 def _shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points with digits and capitals made alike, a start mark before each text; and where the texts end."""
     p = np.frombuffer(("\x01" + "\x01".join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -110,7 +118,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders, last = _contexts(bare, kinds)
         ctx = np.stack([x[last] for x in orders], axis=1).view(np.int64)
         lengths = [[len(v), len(v.encode("utf-8", "replace")), len(b), len(b.encode("utf-8", "replace"))] for v, b in zip(values, bare)]
-        stop = [b[-1:] in STOPS or bool(OPEN_LISTS.search(b)) for b in bare]
+        stop = [_ended(b) for b in bare]
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) * ORDERS + 1, ORDERS, dtype=np.int32)), pa.array(ctx.reshape(-1)))
         yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array(lengths, pa.list_(pa.int32())), pa.array(stop), pa.array([s for _, s in pairs]), flat], names=["kind", "value", "lengths", "stop", "sign", "ctx"])
 
@@ -158,6 +166,7 @@ def endings_of(values: DataFrame) -> DataFrame:
     others go on.
     """
     distinct = values.filter(~is_blank("value")).select("kind", "value").distinct()
+    distinct = distinct.repartition(tasks(values.sparkSession), "kind", "value")
     tails = distinct.mapInArrow(_endings, "kind int, value string, lengths array<int>, stop boolean, sign boolean, ctx array<bigint>")
     tally = distinct.mapInArrow(_tally, "ctx bigint, total bigint, ends bigint").groupBy("ctx").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
     asked = tails.select(F.xxhash64("kind", "value").alias("v"), F.posexplode("ctx").alias("k", "ctx")).filter("ctx <> 0")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.shared import cut
+from cairn.functions.shared import cut, spread
 from cairn.llm.fm_index import FMIndex
 
 #: Code points of an anchor, and of the texts that one shard's index holds.
@@ -165,7 +165,7 @@ def shared_spans(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = docs.filter(F.col(doc_id).isNotNull() & (F.length(text) >= least)).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    anchors = cut(rows.mapInArrow(partial(_anchors, least=least), f"a bigint, doc {id_type}, lo int, hi int"))
+    anchors = cut(spread(rows).mapInArrow(partial(_anchors, least=least), f"a bigint, doc {id_type}, lo int, hi int"))
     shared = anchors.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("a")
     found = anchors.join(shared, "a").groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("found"))
     cuttings = rows.join(found, "doc").mapInArrow(partial(_segments, least=least), f"doc {id_type}, a bigint, lo int, n int, seg string")

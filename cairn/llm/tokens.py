@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.shared import cut
+from cairn.functions.shared import cut, spread
 
 #: Where the cluster keeps the vocabulary; pass another path for another byte-level BPE file of ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -178,7 +178,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     the texts of documents that join them.
     """
     id_type = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")))
     cores = cut(rows.filter("doc is not null and text is not null").mapInArrow(_cores, f"h binary, doc {id_type}, start int, len int"))
     shared = cores.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     uses = cores.join(shared, "h")
@@ -199,6 +199,6 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """The columns ``keep`` and n_tokens (bigint), the number of the text's tokens; 0 for a null or empty text."""
-    rows = docs.select(*keep, F.col(text).alias("text"))
+    rows = spread(docs.select(*keep, F.col(text).alias("text")))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(partial(_count, path=path), f"{schema}, n_tokens bigint")

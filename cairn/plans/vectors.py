@@ -12,6 +12,8 @@ from cairn.plans.registry import registry
 from cairn.sources.tables import table
 
 QUERIES, SQL, query = registry()
+#: Lists that a query probes, of ten. These vectors point in all directions alike, so nearly all lists hold some of the nearest.
+PROBES = 9
 
 _E = "e as (select vec_id as id, label, cast(embedding as double[]) as v from embeddings), q as (select * from e where id % 20 = 0)"
 _TOP = "qualify row_number() over (partition by query_id order by score desc, id) <= {k}"
@@ -86,17 +88,17 @@ def _(spark, d):
 _LISTS = """m as (select label as list, i, round(avg(x), 9) as x from (select label, unnest(v) as x, generate_subscripts(v, 1) as i from e) group by 1, 2), c as (select list, list(x order by i) as cv from m group by 1)"""
 
 
-@query("X04_probed_lists", f"""with {_E}, {_LISTS}, p as (select q.id as query_id, q.v, list from q, c qualify row_number() over (partition by q.id order by round(list_dot_product(q.v, cv), 6) desc, list) <= 3),
+@query("X04_probed_lists", f"""with {_E}, {_LISTS}, p as (select q.id as query_id, q.v, list from q, c qualify row_number() over (partition by q.id order by round(list_dot_product(q.v, cv), 6) desc, list) <= {PROBES}),
     f as (select query_id, e.id, round(list_dot_product(p.v, e.v), 6) + 0.0 as score from p join e on e.label = p.list) {_RANKED} f {_TOP.format(k=10)}""")
 def _(spark, d):
     q, e = _rows(spark, d)
-    return V.probed(q, e, V.centroids(e), 3, 10)
+    return V.probed(q, e, V.centroids(e), PROBES, 10)
 
 
 @query("X04_probed_recall")
 def _(spark, d):
     q, e = _rows(spark, d)
-    return V.recall_of(V.probed(q, e, V.centroids(e), 7, 10), V.nearest(q, e, 10))
+    return V.recall_of(V.probed(q, e, V.centroids(e), PROBES, 10), V.nearest(q, e, 10))
 
 
 @query("V11_zero_shot", f"with {_E}, {_LISTS}, s as (select id, list, round(list_dot_product(v, cv), 6) as score from e, c) select id as vec_id, list as label, score from s qualify row_number() over (partition by id order by score desc, list) = 1")

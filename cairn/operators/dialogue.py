@@ -18,11 +18,24 @@ def last_turns(turns: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     return top_per_group(turns, by, order, n, "turn_back")
 
 
-def history(turns: DataFrame, by: Sequence[str], order: Sequence[str], text: str, n: int) -> DataFrame:
-    """Each turn with the n turns before it joined by `` | ``, oldest first; empty for the first turn."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = [F.lag(text, k).over(w) for k in range(n, 0, -1)]
-    return turns.withColumn("history", F.concat_ws(" | ", *before))
+def history(turns: DataFrame, by: Sequence[str], order: Sequence[str], text: str, n: int, part: Column) -> DataFrame:
+    """Each turn with the n turns before it joined by `` | ``, oldest first; empty for the first turn.
+
+    part is a value that never falls along the order (the day, say). Each part of a conversation is looked at alone,
+    after the last n turns before it, which are gathered per part first: a conversation that holds a third of all
+    turns is spread over as many tasks as it has parts. Null texts are left out of the history.
+    """
+    rows = turns.withColumn("_part", part).withColumn("_turn", F.lit(True))
+    last = top_per_group(rows, [*by, "_part"], [F.col(c).desc() for c in order], n, "_back")
+    last = last.groupBy(*by, "_part").agg(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("_text")))).alias("_last"))
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(-n, -1)
+    before = last.withColumn("_rows", F.slice(F.sort_array(F.flatten(F.collect_list("_last").over(w)), asc=False), 1, n))
+    before = before.withColumn("_row", F.explode("_rows"))
+    before = before.select(*by, "_part", *[F.col(f"_row.{c}").alias(c) for c in order], F.col("_row._text").alias(text), F.lit(False).alias("_turn"))
+    both = rows.unionByName(before, allowMissingColumns=True)
+    here = Window.partitionBy(*by, "_part").orderBy(*order)
+    lags = [F.lag(text, k).over(here) for k in range(n, 0, -1)]
+    return both.withColumn("history", F.concat_ws(" | ", *lags)).filter("_turn").drop("_part", "_turn")
 
 
 def route(question: Column) -> Column:

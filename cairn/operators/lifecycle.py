@@ -23,13 +23,20 @@ def memory_bytes(dim: Column, n: Column) -> Column:
     return dim.cast("double") * n * 4 * 1.5
 
 
-def segments(rows: DataFrame, day: str, order: Sequence[str], size: Column, most: int) -> DataFrame:
+def segments(rows: DataFrame, day: str, part: Column, order: Sequence[str], size: Column, most: int) -> DataFrame:
     """The rows with their segment: a segment is closed each day and whenever its size has reached ``most``.
 
-    Sizes are summed up along the order within a day; segment is the day's number of full segments so far.
+    Sizes are summed up along the order within a day; segment is the day's number of full segments so far. part is a
+    value that never falls along the order (the hour, say): its sums are added up first, then rows only within a part,
+    so a day that holds most rows isn't summed up by one task.
     """
-    before = F.sum(size).over(Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("segment", F.floor(F.coalesce(before, F.lit(0)) / most).cast("bigint"))
+    rows = rows.withColumn("_part", part).withColumn("_size", size)
+    sums = rows.groupBy(day, "_part").agg(F.sum("_size").alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(day).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("_earlier", F.coalesce(earlier, F.lit(0))).drop("_sum")
+    here = F.sum("_size").over(Window.partitionBy(day, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.join(sums, [day, "_part"]).withColumn("_here", F.coalesce(here, F.lit(0)))
+    return out.withColumn("segment", F.floor((F.col("_earlier") + F.col("_here")) / most).cast("bigint")).drop("_part", "_size", "_earlier", "_here")
 
 
 def compaction_plan(segs: DataFrame, by: Sequence[str], most: int = 15, too_many: int = 20, deleted: float = 0.1) -> DataFrame:

@@ -54,7 +54,7 @@ _SEG = """s as (select event_id, cast(cast(ts as date) as varchar) as day, user_
 
 def _segments(spark, d):
     e = table(spark, d, "events").withColumn("day", F.col("ts").cast("date").cast("string"))
-    return Y.segments(e, "day", ["ts", "event_id"], 1 + F.col("user_id"), 2000)
+    return Y.segments(e, "day", F.hour("ts"), ["ts", "event_id"], 1 + F.col("user_id"), 2000)
 
 
 @query("W09_ST1_segments", f"with {_SEG} select event_id, day, segment from s")
@@ -134,7 +134,7 @@ def _(spark, d):
 
 @query("W07_X20_history", "select event_id, concat_ws(' | ', lag(event_type, 2) over w, lag(event_type, 1) over w) as history from events window w as (partition by user_id order by ts, event_id)")
 def _(spark, d):
-    return A.history(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 2).select("event_id", "history")
+    return A.history(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 2, F.col("ts").cast("date")).select("event_id", "history")
 
 
 _Q = f"q as (select distinct {T % 'query'} as question from doc_101_labeled where {T % 'query'} <> '')"

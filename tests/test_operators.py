@@ -180,3 +180,13 @@ def test_collections(spark, tmp_path):
         store.create("other", spark, "x", "id")
     with pytest.raises(TypeError):
         store.register("bad", int)
+
+
+def test_history_over_parts(spark):
+    rows = [("a", i, f"t{i}", i // 3) for i in range(10)] + [("b", 0, "x", 0), ("b", 9, None, 4), ("b", 10, "y", 4)]
+    df = spark.createDataFrame(rows, "c string, n int, text string, p int")
+    got = {(r.c, r.n): r.history for r in dialogue.history(df, ["c"], ["n"], "text", 2, F.col("p")).collect()}
+    assert len(got) == 13
+    assert got["a", 0] == "" and got["a", 1] == "t0"
+    assert all(got["a", i] == f"t{i - 2} | t{i - 1}" for i in range(2, 10))
+    assert got["b", 9] == "x" and got["b", 10] == "x"

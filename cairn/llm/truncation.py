@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from cairn.functions.shared import cut, tasks
 from cairn.functions.text import WHITE_SPACE, is_blank
 
-#: Longest ending that is looked up, and the weight of an ending's share by one symbol less.
-ORDERS, WEIGHT = 7, 8.0
+#: The lengths of the endings that are looked up, and the weight of the share of the next shorter one.
+ORDERS, WEIGHT = (1, 2, 3, 5, 7), 8.0
 #: The share under which an ending counts as unfinished: anywhere, at a limit, and before a sign of a cut.
 UNFINISHED, UNFINISHED_AT_LIMIT, UNFINISHED_SIGNED = 0.05, 0.15, 0.3
 #: Neighbouring lengths on either side, how many times their hazard a limit has at least, and the false-discovery rate.
@@ -63,9 +63,11 @@ def _contexts(texts: list[str], kinds: np.ndarray) -> tuple[list[np.ndarray], np
     out = []
     with np.errstate(over="ignore"):
         one, h = (p + np.uint64(7)) * _MIX, np.zeros(len(p), np.uint64)
-        for k in range(1, ORDERS + 1):
+        for k in range(1, max(ORDERS) + 1):
             # the k symbols up to i are the k - 1 up to i - 1 and one more
             h = np.concatenate([[np.uint64(0)], h[:-1]]) * _BASE + one
+            if k not in ORDERS:
+                continue
             x = h + (kind * np.uint64(16) + np.uint64(k)) * _MIX
             x = (x ^ (x >> np.uint64(31))) * _BASE
             x ^= x >> np.uint64(29)
@@ -119,7 +121,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = np.stack([x[last] for x in orders], axis=1).view(np.int64)
         lengths = [[len(v), len(v.encode("utf-8", "replace")), len(b), len(b.encode("utf-8", "replace"))] for v, b in zip(values, bare)]
         stop = [_ended(b) for b in bare]
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) * ORDERS + 1, ORDERS, dtype=np.int32)), pa.array(ctx.reshape(-1)))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) * len(ORDERS) + 1, len(ORDERS), dtype=np.int32)), pa.array(ctx.reshape(-1)))
         yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array(lengths, pa.list_(pa.int32())), pa.array(stop), pa.array([s for _, s in pairs]), flat], names=["kind", "value", "lengths", "stop", "sign", "ctx"])
 
 
@@ -161,8 +163,8 @@ def endings_of(values: DataFrame) -> DataFrame:
     """Distinct non-blank values with what their endings show: kind, value, lengths, stop, sign, ratio.
 
     ratio: of all other places in values of the kind where the text's last symbols occur (digits alike, capitals
-    alike), the share at which a value ends. The shares by 1 to ORDERS symbols are joined, each drawn towards the one
-    by a symbol less as if that had been seen WEIGHT times. Whole values end as others end; a cut value ends where
+    alike), the share at which a value ends. The shares by the numbers of symbols in ORDERS are joined, each drawn towards
+    that by fewer symbols as if it had been seen WEIGHT times. Whole values end as others end; a cut value ends where
     others go on.
     """
     distinct = values.filter(~is_blank("value")).select("kind", "value").distinct()

@@ -77,15 +77,16 @@ def _contexts(texts: list[str], kinds: np.ndarray) -> tuple[list[np.ndarray], np
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each context occurs and how often a value ends with it; summed up within the task."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[pa.Table] = []
 
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        c = np.concatenate([x[0] for x in held])
-        u, at = np.unique(c, return_inverse=True)
-        return u, np.bincount(at, np.concatenate([x[1] for x in held])), np.bincount(at, np.concatenate([x[2] for x in held]))
+    def counted(x: np.ndarray, total: bool) -> pa.Table:
+        c = pa.array(x.view(np.int64)).value_counts()
+        n, none = c.field("counts"), pa.array(np.zeros(len(c), np.int64))
+        return pa.table({"ctx": c.field("values"), "total": n if total else none, "ends": none if total else n})
 
-    def row(x: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1].astype(np.int64)), pa.array(x[2].astype(np.int64))], names=["ctx", "total", "ends"])
+    def merged() -> pa.Table:
+        t = pa.concat_tables(held).group_by("ctx", use_threads=False).aggregate([("total", "sum"), ("ends", "sum")])
+        return t.rename_columns({"total_sum": "total", "ends_sum": "ends"}).select(["ctx", "total", "ends"])
 
     for batch in batches:
         values, kinds = batch.column("value").to_pylist(), batch.column("kind").to_numpy(zero_copy_only=False)
@@ -95,18 +96,14 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > 300_000 or j == len(bare) - 1:
                 orders, last = _contexts(bare[i : j + 1], kinds[i : j + 1])
                 for x in orders:
-                    end = np.zeros(len(x))
-                    end[last] = 1
-                    keep = x != 0
-                    u, at = np.unique(x[keep], return_inverse=True)
-                    held.append((u, np.bincount(at).astype(float), np.bincount(at, end[keep])))
+                    held += [counted(x[x != 0], True), counted(x[last][x[last] != 0], False)]
                 size, i = 0, j + 1
-        if sum(len(x[0]) for x in held) > 3_000_000:
+        if sum(map(len, held)) > 3_000_000:
             held = [merged()]
-            if len(held[0][0]) > 2_000_000:
-                yield row(held.pop())
+            if len(held[0]) > 2_000_000:
+                yield from held.pop().to_batches()
     if held:
-        yield row(merged())
+        yield from merged().to_batches()
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

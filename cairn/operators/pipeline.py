@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.fields import chunk_key
 from cairn.functions.text import is_blank, strip
 
 
@@ -48,3 +49,22 @@ def containing(rows: DataFrame, text: str, names: DataFrame, name: str) -> DataF
     names match nothing.
     """
     return rows.join(F.broadcast(names.filter(~is_blank(name))), F.expr(f"instr({text}, {name}) > 0"))
+
+
+#: Pages whose texts are joined in one part of a document.
+PART_PAGES = 8
+
+
+def document_parts(chunks: DataFrame) -> DataFrame:
+    """The whole texts of a document joined by blank lines: document_id, part (from 0), body.
+
+    chunks: document_id, chunk_id, text. A part holds PART_PAGES pages, the first one also the chunks whose id names no
+    page; parts in their order, joined by a blank line, are the document. So a document that holds a third of all
+    chunks is many groups. Chunks are in the order of page, index and id; equal ones count once.
+    """
+    key = chunk_key("chunk_id")
+    c = chunks.filter("chunk_id is not null and text is not null").select("document_id", "chunk_id", "text").distinct()
+    c = c.withColumns({"page": F.coalesce(key["page_idx"], F.lit(-1)), "idx": F.coalesce(key["chunk_index"], F.lit(-1))})
+    part = F.greatest(F.floor(F.col("page") / PART_PAGES), F.lit(0)).cast("bigint")
+    g = c.groupBy("document_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("page", "idx", "chunk_id", "text"))).alias("c"))
+    return g.select("document_id", "part", F.array_join(F.transform("c", lambda x: x["text"]), "\n\n").alias("body"))

@@ -202,6 +202,19 @@ def _(spark, d):
     return g.select("query", F.concat(F.lit("问题："), "query", F.lit("\n"), context).alias("prompt"), F.element_at("c", 1)["text"].alias("answer"))
 
 
+@query("X31_whole_answers", f"""with h as (select {T % 'query'} as query, chunk_id, max(score) as score, max(text) as text from doc_101_labeled where chunk_id is not null and score is not null and not isnan(score) and text is not null and {T % 'query'} <> '' group by 1, 2),
+    r as (select *, row_number() over (partition by query order by score desc, chunk_id) as rank from h)
+    select query, '问题：' || query || chr(10) || string_agg(text, chr(10) order by rank) as prompt, max(text) filter (rank = 1) as answer from r where rank <= 3 group by query""")
+def _(spark, d):
+    h = table(spark, d, "doc_101_labeled").withColumn("query", strip("query"))
+    h = h.filter("chunk_id is not null and score is not null and not isnan(score) and text is not null and query <> ''")
+    h = h.groupBy("query", "chunk_id").agg(F.max("score").alias("score"), F.max("text").alias("text"))
+    top = top_per_group(h, ["query"], [F.col("score").desc(), F.col("chunk_id")], 3)
+    g = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"))
+    context = F.array_join(F.transform("c", lambda x: x["text"]), "\n")
+    return g.select("query", F.concat(F.lit("问题："), "query", F.lit("\n"), context).alias("prompt"), F.element_at("c", 1)["text"].alias("answer"))
+
+
 @query("X32_extracted_codes", "select distinct doc_id, unnest(regexp_extract_all(text, '[A-Z]{2}-[0-9]{5}')) as code from documents")
 def _(spark, d):
     codes = F.regexp_extract_all("text", F.lit("([A-Z]{2}-[0-9]{5})"), F.lit(1))

@@ -12,6 +12,7 @@ from cairn.operators import pipeline as P
 from cairn.operators.ranking import top_per_group
 from cairn.operators.references import key_of
 from cairn.plans.registry import registry
+from cairn.plans.text import _PARTS
 from cairn.sources.tables import questions, table
 
 QUERIES, SQL, query = registry()
@@ -157,6 +158,14 @@ def _(spark, d):
     return top_per_group(parents, ["query"], [F.col("score").desc(), F.col("document_id")], 5)
 
 
+@query("J01_whole_parents", f"""with h as (select {T % 'query'} as query, document_id, max(score) as score from doc_101_labeled where document_id is not null and score is not null and not isnan(score) and {T % 'query'} <> '' group by 1, 2),
+    r as (select *, cast(row_number() over (partition by query order by score desc, document_id) as integer) as rank from h qualify row_number() over (partition by query order by score desc, document_id) <= 5)
+    select query, document_id, score, rank, part, body from r join {_PARTS} using (document_id)""")
+def _(spark, d):
+    h = table(spark, d, "doc_101_labeled")
+    return QUERIES["J01_parent_texts"](spark, d).join(P.document_parts(h), "document_id")
+
+
 @query("J06_skip_processed", f"select row_id from entities where lower({T % 'entity_id'}) not in (select lower({T % 'entity_id'}) from entity_index where {T % 'entity_id'} <> '') and {T % 'entity_id'} <> ''")
 def _(spark, d):
     done = table(spark, d, "entity_index").filter(~is_blank("entity_id")).select(key_of("entity_id").alias("k"))

@@ -143,6 +143,34 @@ def _(spark, d):
     return h.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: x["body"]), "\n\n").alias("body"))
 
 
+_PARTS = r"""(select document_id, greatest(page // 8, 0) as part, string_agg(text, chr(10) || chr(10) order by page, idx, chunk_id, text) as body from
+        (select *, coalesce(try_cast(regexp_extract(chunk_id, '^(.*)-(-?[0-9]+)-([0-9]+)$', 2) as bigint), -1) as page, coalesce(try_cast(regexp_extract(chunk_id, '^(.*)-(-?[0-9]+)-([0-9]+)$', 3) as bigint), -1) as idx
+         from (select distinct document_id, chunk_id, text from doc_101_labeled where chunk_id is not null and text is not null)) group by 1, 2)"""
+
+
+@query("F25_whole_texts", f"select document_id, part, body from {_PARTS}")
+def _(spark, d):
+    from cairn.operators.pipeline import document_parts
+
+    return document_parts(table(spark, d, "doc_101_labeled"))
+
+
+@query("F24_cited_texts", f"""with q as (select {T % 'query'} as query, chunk_id, max(score) as score, max(source_file) as source, coalesce(max(text), '') as text from doc_101_labeled
+        where chunk_id is not null and score is not null and not isnan(score) and {T % 'query'} <> '' group by 1, 2),
+    r as (select *, row_number() over (partition by query order by score desc, chunk_id) as i from q)
+    select query, string_agg('[文档' || i || '] ' || text || chr(10) || '来源：' || coalesce(source, '未知'), chr(10) || chr(10) order by i) as context from r where i <= 3 group by query""")
+def _(spark, d):
+    from cairn.operators.ranking import top_per_group
+
+    h = table(spark, d, "doc_101_labeled").withColumn("query", strip("query"))
+    h = h.filter("chunk_id is not null and score is not null and not isnan(score) and query <> ''")
+    q = h.groupBy("query", "chunk_id").agg(F.max("score").alias("score"), F.max("source_file").alias("source"), F.coalesce(F.max("text"), F.lit("")).alias("text"))
+    top = top_per_group(q, ["query"], [F.col("score").desc(), F.col("chunk_id")], 3, "i")
+    line = F.concat(F.lit("[文档"), F.col("i").cast("string"), F.lit("] "), "text", F.lit("\n来源："), F.coalesce("source", F.lit("未知")))
+    parts = F.array_sort(F.collect_list(F.struct("i", line.alias("line"))))
+    return top.groupBy("query").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n\n").alias("context"))
+
+
 @query("F26_row_sentences", "select c_custkey, c_name || ' of segment ' || c_mktsegment || ' lives in nation ' || c_nationkey || '.' as sentence from customer")
 def _(spark, d):
     s = F.concat("c_name", F.lit(" of segment "), "c_mktsegment", F.lit(" lives in nation "), F.col("c_nationkey").cast("string"), F.lit("."))

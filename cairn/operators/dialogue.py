@@ -38,6 +38,44 @@ def history(turns: DataFrame, by: Sequence[str], order: Sequence[str], text: str
     return both.withColumn("history", F.concat_ws(" | ", *lags)).filter("_turn").drop("_part", "_turn")
 
 
+#: Turns of one part of a conversation.
+PART_TURNS = 64
+
+
+def _parted(turns: DataFrame, by: Sequence[str], order: Sequence[str], span: Column) -> DataFrame:
+    """The turns with their number in the conversation (_n, from 0) and part (_n div PART_TURNS).
+
+    span is a value that never falls along the order (the day, say). Turns are counted per span and the counts summed
+    up, so only a span's turns are sorted in one task.
+    """
+    rows = turns.withColumn("_span", span)
+    key = [F.col(c).alias(f"_{i}") for i, c in enumerate([*by, "_span"])]
+    n = rows.groupBy(*key).agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*[f"_{i}" for i in range(len(by))]).orderBy(f"_{len(by)}").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate([*by, "_span"])]
+    here = Window.partitionBy(*by, "_span").orderBy(*order)
+    rows = rows.withColumn("_at", F.row_number().over(here) - 1).join(n, same).withColumn("_n", F.col("_before") + F.col("_at"))
+    return rows.withColumn("part", F.floor(F.col("_n") / PART_TURNS).cast("bigint")).drop("_span", "_at", "_before", *[f"_{i}" for i in range(len(by) + 1)])
+
+
+def history_parts(turns: DataFrame, by: Sequence[str], order: Sequence[str], text: str, span: Column) -> DataFrame:
+    """Conversations in parts of PART_TURNS turns: by, part (from 0), history (texts joined by `` | ``, oldest first, nulls left out)."""
+    p = _parted(turns, by, order, span).groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("_n", F.col(text).alias("t")))).alias("c"))
+    return p.select(*by, "part", F.concat_ws(" | ", F.transform("c", lambda x: x["t"])).alias("history"))
+
+
+def whole_history(turns: DataFrame, by: Sequence[str], order: Sequence[str], text: str, span: Column) -> DataFrame:
+    """Each turn with everything said before it: its columns, part, history.
+
+    history are the turns before it in its own part; all of history_parts with a smaller part number of the same
+    conversation come before that. Parts are written once and referred to by number, so that nothing grows with the
+    square of a conversation. Joined by `` | `` (blank ones left out) they are the whole history.
+    """
+    w = Window.partitionBy(*by, "part").orderBy("_n").rowsBetween(-PART_TURNS, -1)
+    return _parted(turns, by, order, span).withColumn("history", F.concat_ws(" | ", F.collect_list(text).over(w))).drop("_n")
+
+
 def route(question: Column) -> Column:
     """Where a question goes: web if it asks for what is current, keyword if it holds a code, graph if it asks how things relate, else vector."""
     return (

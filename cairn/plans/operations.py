@@ -137,6 +137,19 @@ def _(spark, d):
     return A.history(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 2, F.col("ts").cast("date")).select("event_id", "history")
 
 
+_NUMBERED = "(select *, (row_number() over (partition by user_id order by ts, event_id) - 1) // 64 as part from events)"
+
+
+@query("W07_whole_history", f"select event_id, user_id, part, coalesce(string_agg(event_type, ' | ') over (partition by user_id, part order by ts, event_id rows between unbounded preceding and 1 preceding), '') as history from {_NUMBERED}")
+def _(spark, d):
+    return A.whole_history(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", F.col("ts").cast("date")).select("event_id", "user_id", "part", "history")
+
+
+@query("W07_history_parts", f"select user_id, part, coalesce(string_agg(event_type, ' | ' order by ts, event_id), '') as history from {_NUMBERED} group by 1, 2")
+def _(spark, d):
+    return A.history_parts(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", F.col("ts").cast("date"))
+
+
 _Q = f"q as (select distinct {T % 'query'} as question from doc_101_labeled where {T % 'query'} <> '')"
 _ROUTE = "case when regexp_matches(question, '今天|最新|现在|today|latest|now') then 'web' when regexp_matches(question, '[A-Z]+[0-9]{4,}') then 'keyword' when regexp_matches(question, '关系|影响|相连|relat|between') then 'graph' else 'vector' end"
 _N = f"len(regexp_extract_all(lower(question), '{TERM}', 1))"

@@ -31,3 +31,17 @@ def test_whole_texts(spark, data):
     cited = {r.query: r.context for r in QUERIES["F24_cited_texts"](spark, data).collect()}
     assert all(f"[文档1] {r.answer}\n来源：" in cited[r.query] for r in answers if r.answer in cited[r.query])
     assert sum(r.answer in cited[r.query] for r in answers) > len(answers) / 2
+
+
+def test_whole_history(spark, data):
+    """A turn's part and the parts before it hold every earlier turn of the conversation, not the last two."""
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{data}/events.parquet").select("user_id", "ts", "event_id", "event_type").collect():
+        turns[r.user_id].append((r.ts, r.event_id, r.event_type))
+    parts = {(r.user_id, r.part): r.history for r in QUERIES["W07_history_parts"](spark, data).collect()}
+    got = {}
+    for r in QUERIES["W07_whole_history"](spark, data).collect():
+        got[r.event_id] = " | ".join(x for x in [*(parts[r.user_id, p] for p in range(r.part)), r.history] if x)
+    want = {t[1]: " | ".join(x[2] for x in sorted(c)[:i]) for c in turns.values() for i, t in enumerate(sorted(c))}
+    assert max(p for _, p in parts) >= 1
+    assert got == want

@@ -143,7 +143,11 @@ def named_like(queries: DataFrame, rows: DataFrame, name: str, key: Column, k: i
 
 def local_search(queries: DataFrame, entities: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     """Entities like the query, their neighbours and the edges between: query, kind, key, score."""
-    hits = named_like(queries, entities, "entity_name", key_of("entity_id"), k)
+    return around_entities(named_like(queries, entities, "entity_name", key_of("entity_id"), k), edges)
+
+
+def around_entities(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """Found entities (query, key, score), their neighbours and the edges between: query, kind, key, score."""
     links = both_ways(edges)
     near = hits.join(links, F.col("key") == F.col("u")).select("query", F.col("v").alias("node"))
     near = near.join(hits.select("query", F.col("key").alias("node")), ["query", "node"], "left_anti").distinct()
@@ -159,7 +163,11 @@ def local_search(queries: DataFrame, entities: DataFrame, edges: DataFrame, k: i
 
 def global_search(queries: DataFrame, relations: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
     """Relations like the query, their ends among the entities and the chunks of those: query, kind, key, score (0 for chunks)."""
-    hits = named_like(queries, relations, "description", F.col("row_id").cast("string"), k)
+    return around_relations(named_like(queries, relations, "description", F.col("row_id").cast("string"), k), relations, entities)
+
+
+def around_relations(hits: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Found relations (query, key, score), their ends among the entities and the chunks of those: query, kind, key, score (0 for chunks)."""
     rows = relations.select(F.col("row_id").cast("string").alias("key"), "source_entity", "target_entity")
     ends = hits.join(rows, "key").select("query", F.explode(F.array(key_of("source_entity"), key_of("target_entity"))).alias("node")).distinct()
     known = entities.filter(~is_blank("entity_id")).select(key_of("entity_id").alias("node"), "source_chunk_id")

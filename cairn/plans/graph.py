@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import WHITE_SPACE, is_blank, strip
 from cairn.operators import graph as G
+from cairn.operators import vectors as V
 from cairn.operators.references import key_of
 from cairn.plans.registry import registry
 from cairn.sources.tables import questions, table
@@ -159,6 +160,70 @@ def _(spark, d):
     return G.merge_contexts([_local(spark, d), _global(spark, d)])
 
 
+# the same searches by vectors: queries are the vectors with ids divisible by 20; row_id and doc_id name the vectors of entities (each by its first row), relations and documents
+_FLOOR = 0.05
+_NEAR = f"""{_EDGES}, e as (select vec_id as id, cast(embedding as double[]) as v from embeddings),
+    keyed as (select {K % 'entity_id'} as key, min(row_id) as id from entities where {T % 'entity_id'} <> '' group by 1),
+    named as (select 'entity' as kind, id, key from keyed union all select 'relation', row_id, cast(row_id as varchar) from relations union all select 'chunk', doc_id, cast(doc_id as varchar) from documents),
+    near as (select cast(query_id as varchar) as query, kind, key, score from (select q.id as query_id, kind, key, e.id, round(list_dot_product(q.v, e.v), 6) + 0.0 as score from e q, e join named using (id) where q.id % 20 = 0)
+        where score >= {_FLOOR} qualify row_number() over (partition by query_id, kind order by score desc, id) <= 10),
+    eh as (select query, key, score from near where kind = 'entity'), rh as (select query, key, score from near where kind = 'relation')"""
+_LOCAL_NEAR = f"{_NEAR}, local as {_LOCAL.partition('local as ')[2]}"
+_GLOBAL_NEAR = f"ends as {_GLOBAL.partition('ends as ')[2]}"
+
+
+def _near(spark, d, rows, key: str):
+    """The ten nearest of rows (id, key) for each query vector: query, key, score."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.lit(0).cast("bigint").alias("grp"))
+    found = V.nearest(e.filter("id % 20 = 0"), e.join(rows.select("id"), "id", "left_semi"), 10, least=_FLOOR)
+    return found.join(rows, "id").select(F.col("query_id").cast("string").alias("query"), F.col(key).cast("string").alias("key"), "score")
+
+
+def _near_entities(spark, d):
+    e = table(spark, d, "entities").filter(~is_blank("entity_id"))
+    return _near(spark, d, e.groupBy(key_of("entity_id").alias("key")).agg(F.min("row_id").alias("id")), "key")
+
+
+def _near_relations(spark, d):
+    return _near(spark, d, table(spark, d, "relations").select(F.col("row_id").alias("id")), "id")
+
+
+def _near_chunks(spark, d):
+    return _near(spark, d, table(spark, d, "documents").select(F.col("doc_id").alias("id")), "id")
+
+
+def _kind(df, kind):
+    return df.select("query", F.lit(kind).alias("kind"), "key", "score")
+
+
+def _near_local(spark, d):
+    return G.around_entities(_near_entities(spark, d), G.edges_of(table(spark, d, "relations")))
+
+
+def _near_global(spark, d):
+    return G.around_relations(_near_relations(spark, d), table(spark, d, "relations"), table(spark, d, "entities"))
+
+
+@query("X07_X10_vector_search", f"with {_NEAR} {_RANK} near")
+def _(spark, d):
+    return G.merge_contexts([_kind(_near_entities(spark, d), "entity"), _kind(_near_relations(spark, d), "relation"), _kind(_near_chunks(spark, d), "chunk")])
+
+
+@query("X08_local_by_vectors", f"with {_LOCAL_NEAR} {_RANK} local")
+def _(spark, d):
+    return G.merge_contexts([_near_local(spark, d)])
+
+
+@query("X09_global_by_vectors", f"with {_NEAR}, {_GLOBAL_NEAR} {_RANK} overall")
+def _(spark, d):
+    return G.merge_contexts([_near_global(spark, d)])
+
+
+@query("X11_mixed_by_vectors", f"with {_LOCAL_NEAR}, {_GLOBAL_NEAR} {_RANK} (select * from local union select * from overall union select query, kind, key, score from near where kind = 'chunk')")
+def _(spark, d):
+    return G.merge_contexts([_near_local(spark, d), _near_global(spark, d), _kind(_near_chunks(spark, d), "chunk")])
+
+
 @query("J04_endpoints", f"with {_EDGES}, n as (select distinct {K % 'entity_id'} as node from entities where {T % 'entity_id'} <> '') select row_id, source, target from edges where source in (select node from n) and target in (select node from n)")
 def _(spark, d):
     nodes = table(spark, d, "entities").filter(~is_blank("entity_id")).select(key_of("entity_id").alias("node"))

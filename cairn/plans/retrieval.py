@@ -9,6 +9,7 @@ from cairn.functions.text import WHITE_SPACE, is_blank, strip
 from cairn.operators import evaluation as E
 from cairn.operators import lexical as L
 from cairn.operators import pipeline as P
+from cairn.operators import vectors as V
 from cairn.operators.ranking import top_per_group
 from cairn.operators.references import key_of
 from cairn.plans.registry import registry
@@ -72,6 +73,24 @@ def _(spark, d):
     return L.best(f.select("query_id", "id", s.alias("score")), 10)
 
 
+# the vector of the i-th asked text is the one with id 20 i, since no model is called here; doc_id names the vector of a document
+@query("X06_dense_and_sparse", f"""with {_ASK}, {_bm25('documents', 'doc_id', 'text')}, top as (select query_id, max(score) as m from scores group by 1),
+    e as (select vec_id, cast(embedding as double[]) as v from embeddings),
+    dense as (select query_id, doc_id as id, round(list_dot_product(q.v, e.v), 6) + 0.0 as dense from ask join e q on q.vec_id = query_id * 20, documents join e on doc_id = e.vec_id),
+    f as (select query_id, id, round(0.7 * coalesce(dense, 0) + 0.3 * coalesce(score / m, 0), 6) as score from dense full join scores using (query_id, id) left join top using (query_id)) {_RANK % ('f', 10)}""")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    e = table(spark, d, "embeddings").filter("embedding is not null")
+    asked = _asked(spark).join(e, F.col("vec_id") == F.col("query_id") * 20).select("query_id", F.col("embedding").alias("qvec"))
+    held = docs.select(F.col("doc_id").alias("id")).join(e, F.col("id") == F.col("vec_id"))
+    dense = held.join(F.broadcast(asked)).select("query_id", "id", F.round(V.dot(F.col("qvec"), F.col("embedding")), 6).alias("dense"))
+    sparse = L.bm25(_asked(spark), L.term_counts(_asked(spark), docs, "doc_id", "text"))
+    top = sparse.groupBy("query_id").agg(F.max("score").alias("m"))
+    f = dense.join(sparse, ["query_id", "id"], "full").join(F.broadcast(top), "query_id", "left")
+    s = F.round(0.7 * F.coalesce("dense", F.lit(0.0)) + 0.3 * F.coalesce(F.col("score") / F.col("m"), F.lit(0.0)), 6)
+    return L.best(f.select("query_id", "id", s.alias("score")), 10)
+
+
 @query("U06_waterfall", f"""with h as (select {T % 'query'} as query, chunk_id, max(score) as score from doc_101_labeled where chunk_id is not null and score is not null and not isnan(score) and {T % 'query'} <> '' group by 1, 2),
     strong as (select * from h where score >= 0.6), few as (select query from (select distinct query from h) left join (select query, count(*) as n from strong group by 1) using (query) where coalesce(n, 0) < 3)
     select query, chunk_id, score, 'first' as stage from strong union all select query, chunk_id, score, 'second' from h where score < 0.6 and query in (select query from few)""")

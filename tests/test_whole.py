@@ -1,5 +1,6 @@
 """Jobs that are done whole: nothing of a text, a conversation or a search is left out."""
 
+import shutil
 from collections import defaultdict
 
 import __spark_entry__ as entry
@@ -45,3 +46,30 @@ def test_whole_history(spark, data):
     want = {t[1]: " | ".join(x[2] for x in sorted(c)[:i]) for c in turns.values() for i, t in enumerate(sorted(c))}
     assert max(p for _, p in parts) >= 1
     assert got == want
+
+
+def test_searches_by_vectors(spark, data, tmp_path):
+    """A document that is near in the vectors comes out of hybrid, vector and mixed search, though it holds no word of the query."""
+    for name in ("entities", "relations"):
+        shutil.copy(f"{data}/{name}.parquet", tmp_path)
+    axis = lambda i: [float(j == i % 8) for j in range(8)]
+    spark.createDataFrame([(20, "zzz"), (21, "corroded parapet"), (22, "yyy")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # the question of query 3 has vector 60, as have documents 20 and 21; 22 points elsewhere
+    vecs = [(60, axis(1)), (20, axis(1)), (21, [0.5 * x for x in axis(1)]), (22, axis(2)), (40, axis(3))]
+    spark.createDataFrame(vecs, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    at = str(tmp_path)
+    hybrid = [(r.id, r.score) for r in QUERIES["X06_dense_and_sparse"](spark, at).filter("query_id = 3").orderBy("rank").collect()]
+    assert hybrid == [(20, 0.7), (21, 0.65), (22, 0.0)]
+    want = [("20", 1.0), ("21", 0.5)]
+    for name in ("X07_X10_vector_search", "X11_mixed_by_vectors"):
+        rows = QUERIES[name](spark, at).filter("query = '60' and kind = 'chunk' and score > 0").orderBy("rank").collect()
+        assert [(r.key, r.score) for r in rows] == want, name
+    # vectors 20 and 60 are alike, each names a relation, and an entity if it is the first row of one
+    first = {}
+    for r in sorted(spark.read.parquet(f"{at}/entities.parquet").select("row_id", "entity_id").collect()):
+        if r.entity_id and r.entity_id.strip():
+            first.setdefault(r.entity_id.strip().lower(), r.row_id)
+    found = QUERIES["X08_local_by_vectors"](spark, at).filter("query = '60' and kind = 'entity' and score = 1").collect()
+    assert {r.key for r in found} == {k for k, n in first.items() if n in (20, 60)} != set()
+    found = QUERIES["X09_global_by_vectors"](spark, at).filter("query = '60' and kind = 'relation' and score = 1").collect()
+    assert {r.key for r in found} == {"20", "60"}

@@ -14,7 +14,7 @@ from cairn.functions.shared import cut, tasks
 from cairn.functions.text import WHITE_SPACE, is_blank
 
 #: The lengths of the endings that are looked up, and the weight of the share of the next shorter one.
-ORDERS, WEIGHT = (1, 2, 3, 5, 7), 8.0
+ORDERS, WEIGHT = (1, 2, 3, 4, 5, 6, 7), 8.0
 #: The share under which an ending counts as unfinished: anywhere, at a limit, and before a sign of a cut.
 UNFINISHED, UNFINISHED_AT_LIMIT, UNFINISHED_SIGNED = 0.05, 0.15, 0.3
 #: Neighbouring lengths on either side, how many times their hazard a limit has at least, and the false-discovery rate.

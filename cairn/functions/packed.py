@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -134,17 +135,16 @@ def broken(v: str) -> bool:
     return any(v[-1] == close and open_ not in v[:-1] for open_, close in QUOTES.items())
 
 
-def dialects(field: str) -> list[tuple[str, bool]]:
-    """The dialects worth scoring for a field: (separating marks, whether quotes enclose values).
+def dialects(field: str) -> Iterator[tuple[str, bool]]:
+    """The dialects of a field: (separating marks, whether quotes enclose values).
 
-    Separators are drawn from the marks that stand unprotected in it: all subsets of up to three marks; of more, all
-    of them, all but one, and each alone.
+    Separators are all subsets of the marks that stand unprotected in it, however many these are; there are no more
+    than len(MARKS).
     """
     s = unwrap(field)
-    out = []
     for quoting in (True, False) if any(q in s for q in QUOTES) else (True,):
         found = {s[i] for i in cuts(s, MARKS, quoting)}
         here = "".join(m for m in MARKS if m in found)
-        sizes = range(len(here) + 1) if len(here) <= 3 else (0, 1, len(here) - 1, len(here))
-        out += [("".join(x), quoting) for k in sizes for x in combinations(here, k)]
-    return out
+        for k in range(len(here) + 1):
+            for x in combinations(here, k):
+                yield "".join(x), quoting

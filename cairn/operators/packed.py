@@ -14,22 +14,32 @@ from cairn.functions.text import is_blank
 
 #: Bits for a mark or quote left standing unprotected inside a value, for each separator of a dialect, for spelling a character.
 STRAY_BITS, SEPARATOR_BITS, CHARACTER_BITS = 12.0, 4.0, 8.0
+#: Characters of parses that a task holds before it hands them on.
+MOST_HELD = 4_000_000
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, types = ["field", "seps", "quoting", "own", "vals"], [pa.string(), pa.string(), pa.bool_(), pa.float64(), pa.list_(pa.string())]
+    out: list[list] = [[], [], [], [], []]
+    held = 0
     for b in batches:
-        out: list[list] = [[], [], [], [], []]
         for field in b.column("field").to_pylist():
+            bare = packed.unwrap(field)
+            marks = {q: len(packed.cuts(bare, packed.MARKS, q)) for q in (True, False)}
             for seps, quoting in packed.dialects(field):
                 values = packed.slots(field, seps, quoting)
                 # what the dialect itself costs; one that tears a quote apart explains nothing and spells the field out
-                stray = len(packed.cuts(packed.unwrap(field), packed.MARKS, quoting)) - (len(values) - 1)
+                stray = marks[quoting] - (len(values) - 1)
                 quotes = sum((v[0] in packed.QUOTES) + (v[-1] in packed.QUOTES.values()) for v in values if len(v) > 1)
                 own = SEPARATOR_BITS * len(seps) + STRAY_BITS * (max(0, stray) + quotes)
                 own += CHARACTER_BITS * len(field) * sum(map(packed.broken, values))
                 for x, v in zip(out, (field, seps, quoting, own, [v for v in values if v])):
                     x.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.float64()), pa.array(out[4], pa.list_(pa.string()))], names=["field", "seps", "quoting", "own", "vals"])
+                held += 2 * len(field)
+                if held > MOST_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
+                    out, held = [[], [], [], [], []], 0
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +87,7 @@ def split_packed(df: DataFrame, id_col: str = "hit_id", field: str = "headers_no
 
     A null or blank field gives no row; a slot without a value counts but gives none. Rows with the same field text
     share one dialect, found on the distinct texts, and each row is parsed by it. Repeated rows give repeated values;
-    fields of any length are read whole; other columns are ignored.
+    fields of any length are read whole, with any number of marks; other columns are ignored.
     """
     rows = df.filter(~is_blank(field)).select(F.col(id_col).alias("id"), F.col(field).alias("field"))
     chosen = cheapest_dialects(rows.select("field").distinct())

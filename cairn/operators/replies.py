@@ -21,7 +21,7 @@ def answers(lines: DataFrame, by: Sequence[str], order: str = "n", line: str = "
     Lines that aren't data, the end mark and data that isn't JSON add nothing; a stream with nothing else gives no row.
     """
     data = lines.filter(F.col(line).startswith("data: ") & (F.col(line) != "data: [DONE]"))
-    piece = F.get_json_object(F.substring(F.col(line), 7, 1 << 20), "$.answer")
+    piece = F.get_json_object(F.regexp_replace(F.col(line), "^data: ", ""), "$.answer")
     parts = data.select(*by, F.col(order).alias("o"), piece.alias("p")).filter("p is not null")
     joined = F.array_sort(F.collect_list(F.struct("o", "p")))
     return parts.groupBy(*by).agg(F.array_join(F.transform(joined, lambda x: x["p"]), "").alias("answer"))

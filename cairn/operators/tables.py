@@ -63,7 +63,7 @@ def is_placeholder(table: Column, feature: str = "特征描述") -> Column:
     effective cell in the feature column if there is one, and if all rows repeat the header or are totals. Rows that
     share three or more and 60 % of the header's words repeat it; columns are counted on the whole header.
     """
-    header, body = F.try_element_at(table, F.lit(1)), F.slice(table, 2, 1_000_000)
+    header, body = F.try_element_at(table, F.lit(1)), F.filter(table, lambda _, i: i > 0)
     words = F.array_distinct(F.filter(header, lambda c: F.length(c) > 0))
     least = F.greatest(F.lit(3), F.floor(F.size(words) * 0.6))
     repeats = lambda r: (F.size(words) > 0) & (F.size(F.array_intersect(F.array_distinct(r), words)) >= least)

@@ -68,3 +68,36 @@ def test_operator(spark):
 def test_empty(spark):
     assert rows(spark, []) == set()
     assert rows(spark, [None, ""]) == set()
+
+
+@pytest.mark.parametrize("seps, others", [("|;", "，、"), ("|；", ",、"), ("|,;", "，、"), ("、|;", ",，")])
+def test_many_marks(spark, seps, others):
+    """Fields with four or five marks of which two or three separate: the parse whose values the corpus knows wins."""
+    import random
+
+    rng = random.Random(5)
+    # values that hold one of the other marks each, and are known from fields of their own
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    names = [f"{word()}{m}{word()}" for m in others for _ in range(12000 // len(others))]
+    known = [rng.choice(seps).join(rng.sample(names, 2)) for _ in range(9000)] + names
+    want, fields = {}, list(known)
+    for _ in range(12):
+        values = [next(n for n in rng.sample(names, len(names)) if m in n) for m in others] + rng.sample(names, 2)
+        rng.shuffle(values)
+        marks = [seps[k % len(seps)] for k in range(len(values) - 1)]
+        want[len(fields)] = list(enumerate(values, 1))
+        fields.append("".join(v + m for v, m in zip(values, [*marks, ""])))
+    got = rows(spark, fields)
+    for i, values in want.items():
+        assert sorted(x[1:] for x in got if x[0] == i) == values
+
+
+def test_all_subsets_of_marks():
+    for n in range(len(P.MARKS) + 1):
+        field = "x" + "".join(f"{m}v" for m in P.MARKS[:n])
+        assert len(set(P.dialects(field))) == 2**n
+
+
+def test_long_field_with_all_marks(spark):
+    field = "".join(f"v{i % 40}{P.MARKS[i % 6]}" for i in range(400))
+    assert {v for _, _, v in rows(spark, [field] + [f"v{i}" for i in range(40)] * 3)} >= {f"v{i}" for i in range(40)}

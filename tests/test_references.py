@@ -76,3 +76,25 @@ def test_report(spark):
     e = spark.createDataFrame([], ENT)
     out = orphan_report(orphan_references(references_of(r, "relations", ["source_entity", "target_entity"]), parents_of(e)))
     assert {(x.month, x.n) for x in out.collect()} == {("2025-01", 1), ("2025-02", 2), (None, 1)}
+
+
+def test_hub_on_one_day(spark):
+    """References of one key and one time are dealt out over several merges; the states stay the same."""
+    ent = [("hub", 0, 3), ("hub", 3, 5), ("hub", 3, 4), ("later", 9, None)]
+    rel = [(i, "hub" if i % 3 else "later", "hub", 3 if i % 2 else 5) for i in range(900)] + [(901, "hub", "hub", None)]
+    want = {(i, "t", "deleted") for i in range(900) if not i % 2} | {(i, "s", "deleted") for i in range(900) if i % 3 and not i % 2}
+    want |= {(i, "s", "late") for i in range(900) if not i % 3} | {(901, "s", "late"), (901, "t", "late")}
+    for most in (50_000, 100, 1):
+        assert found(spark, rel, ent, most=most) == want
+
+
+def test_no_task_gets_a_hub(spark):
+    """One key at one time with 100,000 references: no merge holds more than a few per cent of them."""
+    from pyspark.sql import functions as F
+
+    refs = spark.range(100_000).select(F.lit("r").alias("ref_table"), F.col("id").alias("row_id"), F.lit("f").alias("field"), F.lit("hub").alias("key"), F.lit(day(1)).cast("timestamp_ntz").alias("ts"))
+    parents = spark.createDataFrame([("hub", day(0), day(1))], "key string, start timestamp_ntz, end timestamp_ntz")
+    out = orphan_references(refs, parents, most=2_000).withColumn("p", F.spark_partition_id())
+    assert out.count() == 100_000 and out.filter("state = 'deleted'").count() == 100_000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan.split("windowspecdefinition")[1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.shared import cut
 from cairn.functions.text import is_blank, strip
 
 #: Into how many parts a heavy group is spread where it is marked as one.
@@ -43,7 +44,8 @@ def top_n(
     The heavy groups are marked by a join on group and salt, so no task reads a whole one; it has no hint: Spark
     broadcasts their list only if it measures it as small.
     """
-    best = best_scores(hits, group, item, score).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+    # the table is read once; counting, the light and the heavy groups all start from its best scores
+    best = cut(best_scores(hits, group, item, score).withColumn("part", F.pmod(F.xxhash64("item"), F.lit(SALTS))))
     large = best.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > heavy)
     large = large.select("grp", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("part"))
     marked = best.join(large, ["grp", "part"], "left")

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.shared import cut, spread
+from cairn.functions.shared import cut, spread, tasks
 from cairn.llm.fm_index import FMIndex
 
 #: Code points of an anchor, and of the texts that one shard's index holds.
 ANCHOR, SHARD = 64, 400_000
+#: Code points of the anchors by which texts around one anchor are divided again if they don't fit a shard; at last a whole window.
+LONGER = (128, 176, 192)
 _MIX, _BASE = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,19 +50,19 @@ def _minima(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (w - n)], v[w - n :]) if w > n else v
 
 
-def anchors_of(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
+def anchors_of(texts: list[str], least: int, size: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """The anchors of texts of at least ``least`` code points: text number, anchor hash, first and last window start.
 
-    Of each window of ``least`` code points the anchor is its part of ANCHOR code points with the smallest hash (the
+    Of each window of ``least`` code points the anchor is its part of ``size`` code points with the smallest hash (the
     leftmost of equal ones), so equal windows have equal anchors. Neighbouring windows with one anchor make one row.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     off = np.concatenate([[0], np.cumsum(lengths)])
-    h = window_hashes(points, ANCHOR)[: len(points) - ANCHOR + 1]
+    h = window_hashes(points, size)[: len(points) - size + 1]
     at = np.arange(len(h), dtype=np.uint64)
     low = np.uint64(0xFFFFFF)
-    best = _minima((h & ~low) | at, least - ANCHOR + 1)
+    best = _minima((h & ~low) | at, least - size + 1)
     start = np.arange(len(best))
     text = np.searchsorted(off, start, "right") - 1
     whole = start + least <= off[text + 1]
@@ -74,7 +76,7 @@ def anchors_of(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
     return text, h[anchor[first]].view(np.int64), start[first] - off[text], start[last] - off[text]
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], least: int, anchor: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, size, i = batch.column(0), batch.column(1).to_pylist(), 0, 0
         for j, t in enumerate(texts):
@@ -82,19 +84,18 @@ def _anchors(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
             if size > 800_000 or j == len(texts) - 1:
                 part = [x if len(x) >= least else "" for x in texts[i : j + 1]]
                 if any(part) and sum(map(len, part)) < (1 << 24):
-                    rows = anchors_of(part, least)
-                    yield _anchor_rows(ids, i, rows)
+                    yield _anchor_rows(ids, i, anchors_of(part, least, anchor))
                 elif any(part):
-                    yield from (_anchor_rows(ids, j, r) for r in _long(part[-1], least))
+                    yield from (_anchor_rows(ids, j, r) for r in _long(part[-1], least, anchor))
                     if any(part[:-1]):
-                        yield _anchor_rows(ids, i, anchors_of(part[:-1], least))
+                        yield _anchor_rows(ids, i, anchors_of(part[:-1], least, anchor))
                 size, i = 0, j + 1
 
 
-def _long(text: str, least: int, step: int = 1 << 22) -> Iterator[tuple[np.ndarray, ...]]:
+def _long(text: str, least: int, anchor: int = ANCHOR, step: int = 1 << 22) -> Iterator[tuple[np.ndarray, ...]]:
     """The anchors of one very long text, in parts that overlap by less than a window."""
     for a in range(0, len(text) - least + 1, step):
-        t, h, lo, hi = anchors_of([text[a : a + step + least - 1]], least)
+        t, h, lo, hi = anchors_of([text[a : a + step + least - 1]], least, anchor)
         yield t, h, lo + a, hi + a
 
 
@@ -135,17 +136,41 @@ def _search(shard: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["h", "x", "y"])
 
 
-def _hot_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_128_digest
+def _runs(rows: DataFrame, bounds: DataFrame | None, least: int, shard: int, sizes: tuple[int, ...]) -> DataFrame:
+    """Runs of window starts that rows (doc, text) share with rows of other documents: doc, x, y.
 
-    for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for h, seg, low, high in zip(*(batch.column(c).to_pylist() for c in ("h", "seg", "low", "high"))):
-            for x in range(len(seg) - least + 1):
-                for o, v in zip(out, (xxh3_128_digest(seg[x : x + least].encode("utf-8", "surrogatepass")), h, x, low, high)):
-                    o.append(v)
-        kind = batch.schema.field("low").type
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], kind), pa.array(out[4], kind)], names=["w", "h", "x", "low", "high"])
+    bounds: doc, low, high, the smallest and largest document that hold a row's text; None where each row is one
+    document's. sizes: the code points of the anchors; what one anchor gathers beyond a shard is divided by the next.
+    """
+    doc_type = rows.schema["doc"].dataType.simpleString()
+    found = cut(rows.mapInArrow(partial(_anchors, least=least, anchor=sizes[0]), f"a bigint, doc {doc_type}, lo int, hi int"))
+    held = found.withColumns({"low": F.col("doc"), "high": F.col("doc")}) if bounds is None else found.join(bounds, "doc")
+    shared = held.groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("a")
+    lists = found.join(shared, "a").groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("found"))
+    cuttings = rows.join(lists, "doc").mapInArrow(partial(_segments, least=least), f"doc {doc_type}, a bigint, lo int, n int, seg string")
+    cuttings = cut(cuttings.withColumn("h", F.unhex(F.md5("seg"))))
+
+    owned = cuttings.withColumns({"low": F.col("doc"), "high": F.col("doc")}) if bounds is None else cuttings.join(bounds, "doc")
+    distinct = cut(owned.groupBy("a", "h", "seg").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    around = distinct.groupBy("a").agg(F.sum(F.length("seg")).alias("size"))
+    total, largest = around.agg(F.sum("size"), F.max("size")).first()
+    last = len(sizes) == 1  # the anchor is the window then, and equal windows are one text
+    placed = distinct.join(around, "a")
+    usual = placed if last else placed.filter(F.col("size") <= shard)
+    # shards are groups of bounded size; they are dealt to a set number of tasks, which isn't merged, as the work is in their CPU
+    bucket = F.pmod(F.xxhash64("a"), F.lit(2 * max(1, -(-(total or 0) // shard))))
+    usual = usual.select("h", "seg", "low", "high", bucket.alias("bucket")).repartition(tasks(rows.sparkSession), "bucket")
+
+    def search(texts: pd.DataFrame) -> pd.DataFrame:
+        return _search(texts, least)
+
+    runs = usual.groupBy("bucket").applyInPandas(search, "h binary, x int, y int")
+    if not last and (largest or 0) > shard:
+        hot = cut(placed.filter(F.col("size") > shard).groupBy("h").agg(F.min("seg").alias("text"), F.min("low").alias("low"), F.max("high").alias("high")))
+        hot = hot.withColumnRenamed("h", "doc")
+        inner = _runs(hot.select("doc", "text"), hot.select("doc", "low", "high"), least, shard, sizes[1:])
+        runs = runs.unionByName(inner.withColumnRenamed("doc", "h"))
+    return cuttings.select("h", "doc", "lo").join(runs, "h").select("doc", (F.col("lo") + F.col("x")).alias("x"), (F.col("lo") + F.col("y")).alias("y"))
 
 
 def shared_spans(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
@@ -160,34 +185,13 @@ def shared_spans(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text
     equal cuttings are merged into one, and the cuttings are divided among shards by anchor. Each shard holds an
     FM-index over a wavelet matrix and streams its cuttings through it: backward search gives their matching
     statistics against other documents, and the runs of window starts with ``least`` or more go back to all documents
-    that hold the cutting. An anchor with more different cuttings than a shard holds (a short boilerplate in very many
-    documents) is resolved by counting the windows' digests instead, which spreads it over all tasks and is as exact.
+    that hold the cutting. The cuttings around an anchor that are more than a shard holds (a short boilerplate in very
+    many documents) are treated as documents in turn, with longer anchors, of which the last is a whole window: so
+    every window goes through an index of bounded size.
     """
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.filter(F.col(doc_id).isNotNull() & (F.length(text) >= least)).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    anchors = cut(spread(rows).mapInArrow(partial(_anchors, least=least), f"a bigint, doc {id_type}, lo int, hi int"))
-    shared = anchors.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("a")
-    found = anchors.join(shared, "a").groupBy("doc").agg(F.collect_list(F.struct("a", "lo", "hi")).alias("found"))
-    cuttings = rows.join(found, "doc").mapInArrow(partial(_segments, least=least), f"doc {id_type}, a bigint, lo int, n int, seg string")
-    cuttings = cut(cuttings.withColumn("h", F.unhex(F.md5("seg"))))
-
-    distinct = cuttings.groupBy("a", "h", "seg").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    distinct = cut(distinct)
-    sizes = distinct.groupBy("a").agg(F.sum(F.length("seg")).alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard))
-    placed = distinct.join(sizes, "a")
-    bucket = F.pmod(F.xxhash64("a"), F.lit(2 * shards))
-    usual = placed.filter(F.col("size") <= shard).select("h", "seg", "low", "high", bucket.alias("bucket"))
-    # the number is given so that small shuffle blocks aren't merged into few tasks: the work is in the tasks' CPU
-    runs = usual.repartition(2 * shards, "bucket").groupBy("bucket").applyInPandas(partial(_search, least=least), "h binary, x int, y int")
-
-    hot = placed.filter(F.col("size") > shard).select("h", "seg", "low", "high").repartition("h")
-    windows = hot.mapInArrow(partial(_hot_windows, least=least), f"w binary, h binary, x int, low {id_type}, high {id_type}")
-    known = windows.groupBy("w").agg(F.min("low").alias("l"), F.max("high").alias("u")).filter("l <> u").select("w")
-    runs = runs.unionByName(windows.join(known, "w").select("h", "x", F.col("x").alias("y")))
-
-    pieces = cuttings.select("h", "doc", "lo").join(runs, "h").select("doc", (F.col("lo") + F.col("x")).alias("s"), (F.col("lo") + F.col("y") + least).alias("e"))
+    rows = spread(docs.filter(F.col(doc_id).isNotNull() & (F.length(text) >= least)).select(F.col(doc_id).alias("doc"), F.col(text).alias("text")))
+    sizes = (min(ANCHOR, least), *(n for n in LONGER if ANCHOR < n < least), least)
+    pieces = _runs(rows, None, least, shard, sizes).select("doc", F.col("x").alias("s"), (F.col("y") + least).alias("e"))
     order = Window.partitionBy("doc").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     pieces = pieces.withColumn("new", F.when(F.col("s") <= reach, 0).otherwise(1))

@@ -67,6 +67,16 @@ def test_against_brute_force(spark, shard):
     assert run(spark, docs, shard=shard) == brute(docs, 200)
 
 
+@pytest.mark.parametrize("size", [70, 150, 185, 199])
+def test_boilerplate(spark, size):
+    """A passage shorter than a window stands in all documents; only where more is equal around it is anything shared."""
+    rng = random.Random(size)
+    b, tails = passage(rng, size), [passage(rng, 130) for _ in range(4)]
+    docs = [(i, passage(rng, rng.randrange(100)) + b + (tails[i % 4] if i % 3 == 0 else passage(rng, 140))) for i in range(60)]
+    want = brute(docs, 200)
+    assert want and run(spark, docs, shard=2000) == want
+
+
 def test_repetitive_text(spark):
     docs = [(1, "ab" * 400), (2, "x" + "ab" * 150 + "y"), (3, "a" * 500), (4, "a" * 230 + "b" * 300)]
     assert run(spark, docs) == brute(docs, 200)

@@ -34,6 +34,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(_values(spark, d)).filter("cut").select("ref_table", "row_id", "field")
 
 
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(_values(spark, d)).filter("cut").select("ref_table", "row_id", "field", "reason")
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation_report(truncated(_values(spark, d)), table(spark, d, "kg_metadata"))
 
@@ -84,7 +88,7 @@ ranked as (select *, cast(row_number() over (partition by query order by score d
 
 QUERIES = {
     "p1_found": p1_found, "p1_top": p1_top,
-    "p4_found": p4_found, "p4_report": p4_report, "p4_lengths": p4_lengths,
+    "p4_found": p4_found, "p4_reasons": p4_reasons, "p4_report": p4_report, "p4_lengths": p4_lengths,
     "p5_found": p5_found, "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p7_repeats": p7_repeats, "p7_shares": p7_shares,

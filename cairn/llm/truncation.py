@@ -75,51 +75,63 @@ def _contexts(texts: list[str], kinds: np.ndarray) -> tuple[list[np.ndarray], np
     return out, ends - 1
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each context occurs and how often a value ends with it; summed up within the task."""
-    held: list[pa.Table] = []
+#: What _endings gives: rows of values, and rows of contexts (c) with how often they occur and how often a value ends with them.
+_SCHEMA = "kind int, value string, lengths array<int>, stop boolean, sign boolean, ctx array<bigint>, c bigint, total bigint, ends bigint"
+_TYPES = [("kind", pa.int32()), ("value", pa.string()), ("lengths", pa.list_(pa.int32())), ("stop", pa.bool_()), ("sign", pa.bool_()), ("ctx", pa.list_(pa.int64())), ("c", pa.int64()), ("total", pa.int64()), ("ends", pa.int64())]
 
-    def counted(x: np.ndarray, total: bool) -> pa.Table:
+
+def _rows(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in _TYPES], names=[c for c, _ in _TYPES])
+
+
+class _Tally:
+    """Contexts counted within a task."""
+
+    def __init__(self) -> None:
+        self.held: list[pa.Table] = []
+
+    def add(self, x: np.ndarray, total: bool) -> None:
         c = pa.array(x.view(np.int64)).value_counts()
         n, none = c.field("counts"), pa.array(np.zeros(len(c), np.int64))
-        return pa.table({"ctx": c.field("values"), "total": n if total else none, "ends": none if total else n})
+        self.held.append(pa.table({"c": c.field("values"), "total": n if total else none, "ends": none if total else n}))
+
+    def merged(self) -> pa.Table:
+        t = pa.concat_tables(self.held).group_by("c", use_threads=False).aggregate([("total", "sum"), ("ends", "sum")])
+        return t.rename_columns({"total_sum": "total", "ends_sum": "ends"})
 
-    def merged() -> pa.Table:
-        t = pa.concat_tables(held).group_by("ctx", use_threads=False).aggregate([("total", "sum"), ("ends", "sum")])
-        return t.rename_columns({"total_sum": "total", "ends_sum": "ends"}).select(["ctx", "total", "ends"])
+    def rows(self, most: int = 0) -> Iterator[pa.RecordBatch]:
+        """What is held, if it is more than ``most`` after adding up."""
+        if sum(map(len, self.held)) > 3 * most // 2:
+            self.held = [self.merged()] if self.held else []
+            if sum(map(len, self.held)) > most:
+                for b in self.held.pop().to_batches():
+                    yield _rows({c: b.column(c) for c in ("c", "total", "ends")}, b.num_rows)
 
+
+def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each value its lengths, whether it ends in a stop (or an open list) or with a sign of a cut, and the contexts it ends with; and the tally of all contexts."""
+    tally = _Tally()
     for batch in batches:
         values, kinds = batch.column("value").to_pylist(), batch.column("kind").to_numpy(zero_copy_only=False)
-        bare, size, i = [_bare(v)[0] for v in values], 0, 0
+        pairs = [_bare(v) for v in values]
+        bare, size, i = [b for b, _ in pairs], 0, 0
         for j, t in enumerate(bare):
             size += len(t)
             if size > 300_000 or j == len(bare) - 1:
-                orders, last = _contexts(bare[i : j + 1], kinds[i : j + 1])
+                part = slice(i, j + 1)
+                orders, last = _contexts(bare[part], kinds[part])
                 for x in orders:
-                    held += [counted(x[x != 0], True), counted(x[last][x[last] != 0], False)]
+                    tally.add(x[x != 0], True)
+                    tally.add(x[last][x[last] != 0], False)
+                ctx = np.stack([x[last] for x in orders], axis=1).view(np.int64)
+                lengths = [[len(v), len(v.encode("utf-8", "replace")), len(b), len(b.encode("utf-8", "replace"))] for v, b in zip(values[part], bare[part])]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, ctx.size + 1, len(ORDERS), dtype=np.int32)), pa.array(ctx.reshape(-1)))
+                columns = {"kind": batch.column("kind").slice(i, len(ctx)), "value": batch.column("value").slice(i, len(ctx)), "lengths": pa.array(lengths, pa.list_(pa.int32()))}
+                columns |= {"stop": pa.array([_ended(b) for b in bare[part]]), "sign": pa.array([s for _, s in pairs[part]]), "ctx": flat}
+                yield _rows(columns, len(ctx))
                 size, i = 0, j + 1
-        if sum(map(len, held)) > 3_000_000:
-            held = [merged()]
-            if len(held[0]) > 2_000_000:
-                yield from held.pop().to_batches()
-    if held:
-        yield from merged().to_batches()
-
-
-def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each value its lengths, whether it ends in a stop (or an open list) or with a sign of a cut, and the contexts it ends with."""
-    for batch in batches:
-        values, kinds = batch.column("value").to_pylist(), batch.column("kind").to_numpy(zero_copy_only=False)
-        pairs = [_bare(v) for v in values]
-        if not values:
-            continue
-        bare = [b for b, _ in pairs]
-        orders, last = _contexts(bare, kinds)
-        ctx = np.stack([x[last] for x in orders], axis=1).view(np.int64)
-        lengths = [[len(v), len(v.encode("utf-8", "replace")), len(b), len(b.encode("utf-8", "replace"))] for v, b in zip(values, bare)]
-        stop = [_ended(b) for b in bare]
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) * len(ORDERS) + 1, len(ORDERS), dtype=np.int32)), pa.array(ctx.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array(lengths, pa.list_(pa.int32())), pa.array(stop), pa.array([s for _, s in pairs]), flat], names=["kind", "value", "lengths", "stop", "sign", "ctx"])
+        yield from tally.rows(2_000_000)
+    yield from tally.rows()
 
 
 MEASURES = ["characters", "bytes", "characters before a sign", "bytes before a sign"]
@@ -133,7 +145,8 @@ def length_hazards(endings: DataFrame) -> DataFrame:
     ``expected`` is how many would end there at the hazard of the lengths around it, ``bound`` the Chernoff bound of the chance of n or more if that
     is the mean of a Poisson count. By Benjamini and Hochberg's procedure over all lengths of all fields and
     measures, those with a bound small enough for the false-discovery rate and LIFT times the expected number are limits.
-    The windows run over counts per length, which are no more than the longest value has characters.
+    The windows run over counts per length, which are no more than the longest value has characters; the procedure's
+    ranks are counted per power of e of the bound, so no task ranks all lengths.
     """
     unfinished = ~F.col("stop") & (F.coalesce("ratio", F.lit(1.0)) < UNFINISHED_SIGNED)
     each = endings.select("kind", unfinished.alias("u"), F.posexplode("lengths").alias("measure", "length"))
@@ -148,12 +161,16 @@ def length_hazards(endings: DataFrame) -> DataFrame:
     n = n.withColumn("expected", (events + 1) / risk * F.col("at_risk"))
     over = F.col("n") * F.ln(F.greatest(F.col("n"), F.lit(1)) / F.col("expected")) - F.col("n") + F.col("expected")
     n = n.withColumn("bound", F.when(F.col("n") > F.col("expected"), F.exp(-over)).otherwise(1.0))
-    every = Window.partitionBy(F.lit(1))
-    n = n.withColumn("place", F.row_number().over(every.orderBy("bound", "kind", "measure", "length")))
-    passed = F.max(F.when(F.col("bound") <= RATE * F.col("place") / F.count("*").over(every), F.col("place"))).over(every)
-    n = n.withColumn("passed", passed)
-    n = n.withColumn("limit", F.coalesce((F.col("place") <= F.col("passed")) & (F.col("n") >= LIFT * F.col("expected")), F.lit(False)))
-    return n.drop("place", "passed")
+    n = cut(n)
+    tests = n.count()
+    # a bound over the rate passes at no rank; the others are ranked within their power of e, after those of all smaller ones
+    small = n.filter(F.col("bound") <= RATE).withColumn("power", F.floor(-F.ln(F.greatest("bound", F.lit(1e-300)))))
+    powers = small.groupBy("power").agg(F.count("*").alias("c"))  # at most 691 rows
+    before = F.sum("c").over(Window.orderBy(F.col("power").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = small.join(powers.select("power", F.coalesce(before, F.lit(0)).alias("before")), "power")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("power").orderBy("bound"))
+    passed = ranked.withColumn("place", place).filter(F.col("bound") <= RATE * F.col("place") / F.lit(max(tests, 1))).agg(F.max("bound")).first()[0]
+    return n.withColumn("limit", (F.col("bound") <= F.lit(-1.0 if passed is None else passed)) & (F.col("n") >= LIFT * F.col("expected")))
 
 
 def endings_of(values: DataFrame) -> DataFrame:
@@ -165,9 +182,10 @@ def endings_of(values: DataFrame) -> DataFrame:
     others go on.
     """
     distinct = values.filter(~is_blank("value")).select("kind", "value").distinct()
-    distinct = distinct.repartition(tasks(values.sparkSession), "kind", "value")
-    tails = distinct.mapInArrow(_endings, "kind int, value string, lengths array<int>, stop boolean, sign boolean, ctx array<bigint>")
-    tally = distinct.mapInArrow(_tally, "ctx bigint, total bigint, ends bigint").groupBy("ctx").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
+    # every value is read once: its own rows and the counts of contexts come from one pass
+    both = cut(distinct.repartition(tasks(values.sparkSession), "kind", "value").mapInArrow(_endings, _SCHEMA))
+    tails = both.filter("kind is not null").drop("c", "total", "ends")
+    tally = both.filter("c is not null").groupBy(F.col("c").alias("ctx")).agg(F.sum("total").alias("total"), F.sum("ends").alias("ends"))
     asked = tails.select(F.xxhash64("kind", "value").alias("v"), F.posexplode("ctx").alias("k", "ctx")).filter("ctx <> 0")
     judged = asked.join(tally.filter("ends > 0"), "ctx").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("k", "ends", "total"))).alias("by"))
     share = lambda r, x: (x["ends"] - 1 + WEIGHT * r) / (x["total"] - 1 + WEIGHT)
@@ -176,7 +194,7 @@ def endings_of(values: DataFrame) -> DataFrame:
 
 
 def cut_values(endings: DataFrame, hazards: DataFrame) -> DataFrame:
-    """The values that lost their end: kind, value.
+    """The values that lost their end and by which rule: kind, value, reason (limit, sign or transfer).
 
     A value is cut if its ending is unfinished: its ratio is under UNFINISHED_AT_LIMIT where one of its lengths is a
     limit, under UNFINISHED_SIGNED before a sign of a cut, or under UNFINISHED anywhere (a cut in transfer); and the
@@ -190,8 +208,9 @@ def cut_values(endings: DataFrame, hazards: DataFrame) -> DataFrame:
     at = endings.select("kind", "value", F.posexplode("lengths").alias("m", "l")).join(limits, ["kind", "m", "l"], "left_semi")
     at = at.select("kind", "value").distinct().withColumn("at_limit", F.lit(True))
     e = endings.filter("not stop").join(at, ["kind", "value"], "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    most = F.greatest(F.when(F.col("at_limit"), UNFINISHED_AT_LIMIT).otherwise(UNFINISHED), F.when(F.col("sign"), UNFINISHED_SIGNED).otherwise(0.0))
-    return e.filter(F.col("ratio") < most).select("kind", "value")
+    limit = F.when(F.col("at_limit") & (F.col("ratio") < UNFINISHED_AT_LIMIT), "limit")
+    reason = limit.when(F.col("sign") & (F.col("ratio") < UNFINISHED_SIGNED), "sign").when(F.col("ratio") < UNFINISHED, "transfer")
+    return e.withColumn("reason", reason).filter("reason is not null").select("kind", "value", "reason")
 
 
 def text_values(tables: list[tuple[str, DataFrame, list[str]]], row_id: str = "row_id", source: str = "document_id") -> DataFrame:
@@ -209,7 +228,7 @@ def text_values(tables: list[tuple[str, DataFrame, list[str]]], row_id: str = "r
 
 
 def truncated(values: DataFrame) -> DataFrame:
-    """The rows of text_values with cut (boolean): whether the value lost its end.
+    """The rows of text_values with cut (boolean): whether the value lost its end; and reason, the rule by which (null if whole).
 
     Null values have no row; blank ones are whole; equal values of a field are judged once and alike, however many
     rows hold them; other columns are kept. An empty table gives no row.
@@ -220,8 +239,9 @@ def truncated(values: DataFrame) -> DataFrame:
 
 
 def truncation_report(judged: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Per namespace of the source and field: namespace (null if unknown), ref_table, field, n_values, n_cut, cut_share."""
+    """Per namespace of the source and field: namespace (null if unknown), ref_table, field, n_values, n_cut, cut_share, n_limit, n_sign, n_transfer."""
     spaces = metadata.filter("document_id is not null").groupBy(F.col("document_id").alias("source")).agg(F.max("namespace").alias("namespace"))
     per = judged.join(spaces, "source", "left").groupBy("namespace", "ref_table", "field")
-    out = per.agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"))
+    by = [F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(f"n_{r}") for r in ("limit", "sign", "transfer")]
+    out = per.agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), *by)
     return out.withColumn("cut_share", F.round(F.col("n_cut") / F.col("n_values"), 6))

@@ -6,6 +6,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,19 @@ from pyspark.sql import functions as F
 
 from cairn.functions.shared import cut, spread
 
-#: Where the cluster keeps the vocabulary; pass another path for another byte-level BPE file of ranks.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
 # Fixed value: the pattern by which byte_bpe_50k divides a text into pieces before merging bytes within each.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+
+class Tokenizer(NamedTuple):
+    """A byte-level BPE tokenizer: where the cluster keeps its file of ranks, and the pattern that divides texts into pieces."""
+
+    path: str
+    pieces: str = PIECES
+
+
+BYTE_BPE_50K = Tokenizer("/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 #: Bytes that one rolling hash covers, and the mean length of a chunk in bytes as a power of two.
 WINDOW, CHUNK_BITS = 16, 8
 
@@ -29,13 +37,21 @@ _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The tokenizer of a file of ranks, loaded once per worker. It has no special tokens: their strings are ordinary text."""
+def encoder(tokenizer: Tokenizer):
+    """The tokenizer, loaded once per worker. It has no special tokens: their strings are ordinary text.
+
+    Safe points are proven for PIECES, so a tokenizer of another pattern is refused, as is a file without a rank for
+    every byte, which couldn't encode every text.
+    """
     import tiktoken
 
-    with open(path, "rb") as f:
+    if tokenizer.pieces != PIECES:
+        raise ValueError("texts can be cut at safe points for the pattern PIECES only")
+    with open(tokenizer.path, "rb") as f:
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    if not all(bytes([b]) in ranks for b in range(256)):
+        raise ValueError(f"{tokenizer.path} has no rank for some byte")
+    return tiktoken.Encoding("ranks", pat_str=tokenizer.pieces, mergeable_ranks=ranks, special_tokens={})
 
 
 def safe_points(b: np.ndarray) -> np.ndarray:
@@ -113,8 +129,8 @@ def _valid(core: dict, text: bytes) -> bool:
     return xxh3_128_digest(text[core["start"] : core["start"] + core["len"]]) == core["h"]
 
 
-def _encode_cores(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path)
+def _encode_cores(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[pa.RecordBatch]:
+    enc = encoder(tokenizer)
     for batch in batches:
         h, ids = [], []
         for text, cores in zip(batch.column("text").to_pylist(), batch.column("cores").to_pylist()):
@@ -139,9 +155,9 @@ def _encode(enc, text: str, most: int = 1 << 20) -> list[int]:
     return out
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], path: str, doc_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[pa.RecordBatch]:
     """Ids of whole documents: shared cores as they were encoded, what joins them re-encoded from the text."""
-    enc = encoder(path)
+    enc = encoder(tokenizer)
     for batch in batches:
         docs, texts, cores = (batch.column(c) for c in ("doc", "text", "cores"))
         flat, ends, first = array("i"), [0], 0
@@ -164,7 +180,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], path: str, doc_type: pa.DataTyp
                 flat, ends, first = array("i"), [0], k + 1
 
 
-def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
+def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: Tokenizer = BYTE_BPE_50K) -> DataFrame:
     """The token ids of every document, without special tokens: doc_id, ids (array<int>).
 
     Exactly what the tokenizer gives for the whole text; a null or empty text gives an empty list; repeated rows give
@@ -184,21 +200,21 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     uses = cores.join(shared, "h")
     owner = uses.groupBy("h").agg(F.min(F.struct("doc", "start", "len")).alias("o")).select(F.col("o.doc").alias("doc"), F.struct("h", "o.start", "o.len").alias("c"))
     owners = owner.groupBy("doc").agg(F.collect_list("c").alias("cores"))
-    encoded = cut(rows.join(owners, "doc").select("text", "cores").mapInArrow(partial(_encode_cores, path=path), "h binary, ids binary"))
+    encoded = cut(rows.join(owners, "doc").select("text", "cores").mapInArrow(partial(_encode_cores, tokenizer=tokenizer), "h binary, ids binary"))
     known = uses.join(encoded.dropDuplicates(["h"]), "h").groupBy("doc").agg(F.collect_list(F.struct("start", "len", "h", "ids")).alias("cores"))
-    out = rows.join(known, "doc", "left").mapInArrow(partial(_assemble, path=path, doc_type=None), f"doc {id_type}, ids array<int>")
+    out = rows.join(known, "doc", "left").mapInArrow(partial(_assemble, tokenizer=tokenizer), f"doc {id_type}, ids array<int>")
     return out.select(F.col("doc").alias(doc_id), "ids")
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path)
+def _count(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[pa.RecordBatch]:
+    enc = encoder(tokenizer)
     for batch in batches:
         n = [len(_encode(enc, t)) if t else 0 for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(n, pa.int64())], names=[*(c for c in batch.schema.names if c != "text"), "n_tokens"])
 
 
-def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
+def token_counts(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: Tokenizer = BYTE_BPE_50K) -> DataFrame:
     """The columns ``keep`` and n_tokens (bigint), the number of the text's tokens; 0 for a null or empty text."""
     rows = spread(docs.select(*keep, F.col(text).alias("text")))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(partial(_count, path=path), f"{schema}, n_tokens bigint")
+    return rows.mapInArrow(partial(_count, tokenizer=tokenizer), f"{schema}, n_tokens bigint")

@@ -8,13 +8,13 @@ from hypothesis import strategies as st
 
 from cairn.llm import tokens as T
 
-pytestmark = pytest.mark.skipif(not os.path.exists(T.VOCABULARY), reason="no vocabulary here")
+pytestmark = pytest.mark.skipif(not os.path.exists(T.BYTE_BPE_50K.path), reason="no vocabulary here")
 SCHEMA = "doc_id bigint, text string, ids string, cores string, h string"
 PIECES = st.sampled_from(["it's", " word", "水箱，", "。", "  ", "\n\n", "123", "4.5", "don't", "'s", " ", "\t", "é", "ｆ", "𝄞", "<|endoftext|>", "...", "A", "-", "　", "中文字", "​", "፩", "龥"])
 
 
 def ids(text):
-    return T.encoder(T.VOCABULARY).encode_ordinary(text)
+    return T.encoder(T.BYTE_BPE_50K).encode_ordinary(text)
 
 
 @settings(max_examples=300, deadline=None)
@@ -57,9 +57,9 @@ def test_cores_are_shared(spark):
 
 def test_long_texts_are_encoded_in_parts(spark):
     text = "The pump feeds. 水箱，阀门。" * 2000
-    assert T._encode(T.encoder(T.VOCABULARY), text, most=1000) == ids(text)
+    assert T._encode(T.encoder(T.BYTE_BPE_50K), text, most=1000) == ids(text)
     blank = " " * 20_000
-    assert T._encode(T.encoder(T.VOCABULARY), blank, most=1000) == ids(blank)
+    assert T._encode(T.encoder(T.BYTE_BPE_50K), blank, most=1000) == ids(blank)
 
 
 def test_empty(spark):
@@ -69,3 +69,22 @@ def test_empty(spark):
 def test_counts(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id bigint, text string")
     assert {(r.doc_id, r.n_tokens) for r in T.token_counts(df, ["doc_id"]).collect()} == {(1, 2), (2, 0), (3, 0)}
+
+
+def test_only_what_safe_points_hold_for(tmp_path):
+    with pytest.raises(ValueError):
+        T.encoder(T.BYTE_BPE_50K._replace(pieces=r"\s+|\S+"))
+    (tmp_path / "few").write_bytes(b"YQ== 0\n")
+    with pytest.raises(ValueError):
+        T.encoder(T.Tokenizer(str(tmp_path / "few")))
+
+
+def test_another_vocabulary_of_the_pattern(spark):
+    other = T.BYTE_BPE_50K._replace(path=T.BYTE_BPE_50K.path.replace("byte_bpe_50k", "byte_bpe_multi_50k"))
+    if not os.path.exists(other.path):
+        pytest.skip("no second vocabulary here")
+    shared = "水箱焊接记录，" * 60 + "The pump feeds the valve. " * 40
+    texts = [shared + str(i) for i in range(5)] + ["", None, "it's one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in T.encode_corpus(df, tokenizer=other).collect()}
+    assert got == {i: T.encoder(other).encode_ordinary(t) if t else [] for i, t in enumerate(texts)}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.shared import cut
 from cairn.functions.text import is_blank, strip
 
 STATES = ("missing", "deleted", "late")
@@ -57,7 +58,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, slice_seconds:
 
     # per key and slice: the latest end that parents of the slice reach, what all earlier slices hand on, and the references
     ends = par.groupBy("key", "slice").agg(F.max("until").alias("until"), F.lit(0).cast("bigint").alias("n"))
-    asked = ref.groupBy("key", "slice").agg(F.lit(None).cast("timestamp_ntz").alias("until"), F.count("*").alias("n"))
+    asked = cut(ref.groupBy("key", "slice").agg(F.lit(None).cast("timestamp_ntz").alias("until"), F.count("*").alias("n")))
     by_key = Window.partitionBy("key")
     before = by_key.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     per = ends.unionByName(asked).groupBy("key", "slice").agg(F.max("until").alias("until"), F.sum("n").alias("n"))
@@ -65,13 +66,17 @@ def orphan_references(references: DataFrame, parents: DataFrame, slice_seconds:
     salts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0).cast("bigint")))
     carried = carried.select("key", "slice", F.explode(salts).alias("salt"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("carry").alias("until"), "known", F.lit(0).alias("kind"))
 
-    # heavy slices are known by their counts; references meet them by key, slice and deal, so no task reads a whole one
+    # heavy slices, if there are any, are known by their counts; references meet them by key, slice and deal, so no task reads a whole one
+    zero = F.lit(0).cast("bigint")
     heavy = asked.filter(F.col("n") > most).select("key", "slice", F.ceil(F.col("n") / most).alias("parts"))
-    dealt = heavy.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEALS - 1).cast("bigint"))))
-    ref = ref.join(dealt, ["key", "slice", "deal"], "left")
-    ref = ref.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("field", "row_id"), F.col("parts")), F.lit(0).cast("bigint")))
-    par = par.join(heavy, ["key", "slice"], "left")
-    par = par.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("parts") - 1, F.lit(0).cast("bigint")))))
+    if heavy.isEmpty():
+        ref, par = ref.withColumn("salt", zero), par.withColumn("salt", zero)
+    else:
+        dealt = heavy.withColumn("deal", F.explode(F.sequence(zero, F.lit(DEALS - 1).cast("bigint"))))
+        ref = ref.join(dealt, ["key", "slice", "deal"], "left")
+        ref = ref.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("field", "row_id"), F.col("parts")), zero))
+        par = par.join(heavy, ["key", "slice"], "left")
+        par = par.withColumn("salt", F.explode(F.sequence(zero, F.coalesce(F.col("parts") - 1, zero))))
 
     none = lambda t: F.lit(None).cast(t)
     row = F.struct("ref_table", "row_id", "field")

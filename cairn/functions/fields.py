@@ -157,6 +157,23 @@ def number_after(c: Column | str, word: str) -> Column:
     return F.nullif(F.regexp_extract(_col(c), word + r"[^0-9]{0,6}([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
 
 
+def moment(c: Column | str) -> Column:
+    """A time kept as text, day first by year, with dashes or slashes, with or without a time of day; null where it is none."""
+    return F.translate(_col(c), "/T", "- ").try_cast("timestamp_ntz")
+
+
+def average_of(c: Column | str, words: Sequence[str]) -> Column:
+    """The mean of the numbers that follow the words in a reply; words without one don't count, null if there is none."""
+    found = F.filter(F.array(*[number_after(c, w) for w in words]), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda s, x: s + x) / F.size(found))
+
+
+def first_label(reply: Column | str, labels: Sequence[str], noise: str) -> Column:
+    """The first of the labels that a reply holds once ``noise`` is taken out of both; null if it holds none."""
+    said = F.replace(_col(reply), F.lit(noise), F.lit(""))
+    return F.coalesce(*[F.when(said.contains(x.replace(noise, "")), x) for x in labels])
+
+
 def data_url(c: Column | str, mime: str = "text/plain") -> Column:
     """A text as a data URL."""
     return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(F.encode(_col(c), "UTF-8")), "\r\n", ""))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.fields import keyword_list
+from cairn.functions.fields import keyword_list, moment
 from cairn.functions.text import is_blank, strip
 from cairn.operators.ranking import top_per_group
 from cairn.operators.references import key_of
@@ -29,29 +29,32 @@ def _distinct_text(df: DataFrame, by: Sequence[str], text: str, sep: str, order:
 def merge_entities(entities: DataFrame, seq: str = "row_id") -> DataFrame:
     """One row per name and type: entity_name, entity_type, first_id, n, description (sorted set joined by `` | ``).
 
-    Null names and types make groups of their own; a group with blank descriptions only has a null one.
+    The first row gives what else there is: entity_id, source_chunk_id, document_id. Null names and types make groups
+    of their own; a group with blank descriptions only has a null one.
     """
     by = ["entity_name", "entity_type"]
     rows = entities.withColumns({c: F.coalesce(c, F.lit("")) for c in by})
-    head = rows.groupBy(*by).agg(F.min(seq).alias("first_id"), F.count("*").alias("n"))
+    first = F.min_by(F.struct("entity_id", "source_chunk_id", "document_id"), seq)
+    head = rows.groupBy(*by).agg(F.min(seq).alias("first_id"), F.count("*").alias("n"), first.alias("f")).select(*by, "first_id", "n", "f.*")
     return head.join(_distinct_text(rows, by, "description", " | "), by, "left")
 
 
-def merge_relations(relations: DataFrame) -> DataFrame:
-    """One row per source, target and type: n, weight (sum, 1 where null), description (sorted set joined by `` | ``)."""
+def merge_relations(relations: DataFrame, seq: str = "row_id") -> DataFrame:
+    """One row per source, target and type: n, weight (sum, 1 where null), the first row's keywords, description (sorted set joined by `` | ``)."""
     by = ["source_entity", "target_entity", "relation_type"]
     rows = relations.withColumns({c: F.coalesce(c, F.lit("")) for c in by})
-    head = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("weight", F.lit(1.0))), 6).alias("weight"))
+    first = F.min_by(F.struct("keywords"), seq)
+    head = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("weight", F.lit(1.0))), 6).alias("weight"), first.alias("f")).select(*by, "n", "weight", "f.*")
     return head.join(_distinct_text(rows, by, "description", " | "), by, "left")
 
 
-def upsert_entities(stored: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_entities(stored: DataFrame, new: DataFrame, by: str = "entity_id") -> DataFrame:
     """The stored entities after the new ones came in: one row per key, type and document of the latest row.
 
-    Keys are entity ids without white space and case; descriptions are joined by ``;`` in the order in which each first
-    came, and one that is there already isn't added again. Rows with a blank key are left out.
+    Keys are entity ids (or names, by another column) without white space and case; descriptions are joined by ``;`` in
+    the order in which each first came, and one that is there already isn't added again. Rows with a blank key are left out.
     """
-    rows = stored.unionByName(new).withColumn("key", key_of("entity_id")).filter(~is_blank("entity_id"))
+    rows = stored.unionByName(new).withColumn("key", key_of(by)).filter(~is_blank(by))
     latest = F.max_by(F.struct("entity_type", "document_id"), F.struct("loaded_at", "row_id"))
     head = rows.groupBy("key").agg(latest.alias("l"), F.count("*").alias("n"))
     text = _distinct_text(rows, ["key"], "description", ";", "row_id")
@@ -71,7 +74,9 @@ def upsert_relations(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert_metadata(stored: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Metadata of every document: counts of what was extracted; the latest status and namespace, ``processing`` if it is new."""
-    one = stored.filter("document_id is not null").groupBy("document_id").agg(F.max("namespace").alias("namespace"), F.max("status").alias("status"))
+    last = F.max(F.struct(F.coalesce(moment("updated_at"), F.expr("timestamp_ntz '0001-01-01 00:00:00'")).alias("at"), F.coalesce("status", F.lit("")).alias("status")))
+    one = stored.filter("document_id is not null").groupBy("document_id").agg(F.max("namespace").alias("namespace"), last.alias("l"))
+    one = one.select("document_id", "namespace", F.nullif("l.status", F.lit("")).alias("status"))
     ents = entities.filter("document_id is not null").groupBy("document_id").agg(F.count("*").cast("int").alias("entity_count"))
     rels = relations.filter("document_id is not null").groupBy("document_id").agg(F.count("*").cast("int").alias("relation_count"))
     all_ = one.join(ents, "document_id", "full").join(rels, "document_id", "full")
@@ -136,7 +141,7 @@ def named_like(queries: DataFrame, rows: DataFrame, name: str, key: Column, k: i
     """
     q = queries.select(F.lower(strip("query")).alias("query")).filter("query <> ''").distinct()
     text = F.lower(strip(name))
-    hit = rows.select(key.alias("key"), text.alias("text")).filter("key <> '' and text <> ''").join(F.broadcast(q), F.expr("instr(text, query) > 0"))
+    hit = rows.select(key.alias("key"), text.alias("text")).filter("key <> '' and text <> ''").join(q, F.expr("instr(text, query) > 0"))
     hit = hit.groupBy("query", "key").agg(F.max(F.round(F.length("query") / F.length("text"), 6)).alias("score"))
     return top_per_group(hit, ["query"], [F.col("score").desc(), F.col("key")], k).drop("rank")
 
@@ -180,6 +185,23 @@ def around_relations(hits: DataFrame, relations: DataFrame, entities: DataFrame)
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
+#: Which searches a mode unites.
+MODES = {"local": ("local",), "global": ("global",), "hybrid": ("local", "global"), "mix": ("local", "global", "vector")}
+
+
+def unified(searches: dict[str, DataFrame], mode: str = "mix", k: int | None = None) -> DataFrame:
+    """The results of the searches that a mode unites: mode, query, kind, key, score, rank.
+
+    searches: local, global and vector, each query, kind, key, score; those that the mode doesn't name aren't run. An
+    unknown mode gives one row of kind ``error`` for each query of the vector search.
+    """
+    if mode in MODES:
+        return merge_contexts([searches[m] for m in MODES[mode]], k).withColumn("mode", F.lit(mode))
+    asked = searches["vector"].select("query").distinct()
+    said = f"unknown mode {mode}; known: {', '.join(MODES)}"
+    return asked.select("query", F.lit("error").alias("kind"), F.lit(said).alias("key"), F.lit(0.0).alias("score"), F.lit(1).alias("rank"), F.lit(mode).alias("mode"))
+
+
 def merge_contexts(parts: Sequence[DataFrame], k: int | None = None) -> DataFrame:
     """Results of several searches as one list per query and kind: query, kind, key, score, rank.
 

@@ -66,13 +66,13 @@ def bm25(queries: DataFrame, counts: DataFrame, digits: int = 6) -> DataFrame:
     weights = asked.join(df, "term").join(F.broadcast(stats))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return tf.join(F.broadcast(weights), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
+    return tf.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
 
 
 def matched_share(queries: DataFrame, counts: DataFrame, digits: int = 6) -> DataFrame:
     """The share of the query's different terms that each document has: query_id, id, score; documents with none have no row."""
     asked = queries.select("query_id", F.array_distinct(terms("query")).alias("t")).select("query_id", F.size("t").alias("of"), F.explode("t").alias("term"))
-    hit = counts.filter("term is not null").join(F.broadcast(asked), "term")
+    hit = counts.filter("term is not null").join(asked, "term")
     return hit.groupBy("query_id", "id", "of").agg(F.count("*").alias("n")).select("query_id", "id", F.round(F.col("n") / F.col("of"), digits).alias("score"))
 
 

@@ -57,3 +57,20 @@ def alerts(metrics: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFr
         here = F.col("metric") == name
         level = F.when(here & (F.col("value") >= crit), "critical").when(here & (F.col("value") >= warn), "warning").otherwise(level)
     return metrics.withColumn("level", level)
+
+
+def file_counts(rows: DataFrame, by: str) -> DataFrame:
+    """Rows, files and mean file size of each value of a partition column, as a read of Parquet files knows them: by, n_rows, n_files, mean_bytes."""
+    one = rows.groupBy(by, F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("bytes"))
+    return one.groupBy(by).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_files"), F.avg("bytes").alias("mean_bytes"))
+
+
+def compact(rows: DataFrame, by: str, path: str, most_rows: int = 5_000_000) -> None:
+    """Writes the rows anew under a path in as few files per value of ``by`` as ``most_rows`` allows.
+
+    Values are dealt to tasks by hash and, where one holds more than ``most_rows``, over as many parts as it needs, so
+    that a day with a third of all rows is no single task.
+    """
+    n = rows.groupBy(by).agg(F.ceil(F.count("*") / most_rows).alias("_parts"))
+    dealt = rows.join(n, by).withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.col("_parts")))
+    dealt.repartition(by, "_part").drop("_parts", "_part").write.partitionBy(by).option("maxRecordsPerFile", 2 * most_rows).parquet(path)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.fields import chunk_key
 from cairn.functions.text import is_blank, strip
+from cairn.operators.dialogue import depth
+from cairn.operators.ranking import top_per_group
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
@@ -48,7 +50,62 @@ def containing(rows: DataFrame, text: str, names: DataFrame, name: str) -> DataF
     names is a configured list that doesn't grow with the rows; every row is compared with it in its own task. Blank
     names match nothing.
     """
-    return rows.join(F.broadcast(names.filter(~is_blank(name))), F.expr(f"instr({text}, {name}) > 0"))
+    return rows.join(names.filter(~is_blank(name)), F.expr(f"instr({text}, {name}) > 0"))
+
+
+def projected(rows: DataFrame, fields: Mapping[str, object]) -> DataFrame:
+    """The named fields, with the value given for each where it is null or the rows don't have it (text where the type is unknown)."""
+    known = set(rows.columns)
+    one = lambda f, v: (F.coalesce(F.col(f), F.lit(v)) if f in known else F.lit(v).cast("string")).alias(f)
+    return rows.select(*[one(f, v) for f, v in fields.items()])
+
+
+def matching(rows: DataFrame, where: Mapping[str, object]) -> DataFrame:
+    """The rows that meet every condition: a value (None: null), or one of $in, $ne, $gt, $gte, $lt, $lte with a value.
+
+    The conditions are plain comparisons, so they reach the scan.
+    """
+    ops: dict[str, Callable[[Column, object], Column]] = {
+        "$in": lambda c, v: c.isin(*v),
+        "$ne": lambda c, v: c.isNotNull() if v is None else c != v,
+        "$gt": lambda c, v: c > v,
+        "$gte": lambda c, v: c >= v,
+        "$lt": lambda c, v: c < v,
+        "$lte": lambda c, v: c <= v,
+    }
+    for field, want in where.items():
+        c = F.col(field)
+        if isinstance(want, Mapping):
+            for op, v in want.items():
+                if op not in ops:
+                    raise ValueError(f"unknown condition {op}; known: {', '.join(ops)}")
+                rows = rows.filter(ops[op](c, v))
+        else:
+            rows = rows.filter(c.isNull() if want is None else c == F.lit(want))
+    return rows
+
+
+def adaptive(hits: DataFrame, k: int = 10) -> DataFrame:
+    """As much as a question needs: query, chunk_id, depth, rank, of hits (query, chunk_id, document_id, score, words).
+
+    A simple question takes its 3 best by score; a medium one the 5 best by score and the 5 that share most words,
+    ranked by both; a complex one its 5 best and, as a second hop, all hits in their documents. At most ``k`` each.
+    """
+    h = hits.withColumn("depth", depth(F.col("query")))
+    first = lambda kind, by, n: top_per_group(h.filter(F.col("depth") == kind), ["query"], [F.col(by).desc(), F.col("chunk_id")], n)
+    cols = ["query", "chunk_id", "depth"]
+    simple = first("simple", "score", 3).select(*cols, "score")
+    medium = first("medium", "score", 5).unionByName(first("medium", "words", 5)).select(*cols, F.round(0.5 * F.col("score") + 0.5 * F.col("words"), 6).alias("score"))
+    best = first("complex", "score", 5)
+    hop = h.filter("depth = 'complex'").join(best.select("query", "document_id").distinct(), ["query", "document_id"], "left_semi")
+    all_ = simple.unionByName(medium).unionByName(best.select(*cols, "score")).unionByName(hop.select(*cols, "score")).distinct()
+    return top_per_group(all_, ["query"], [F.col("score").desc(), F.col("chunk_id")], k).select(*cols, "rank")
+
+
+def with_turn_before(asked: DataFrame) -> DataFrame:
+    """A stated conversation (query_id, query) with each question written after the one before it, which it may refer to."""
+    before = asked.select((F.col("query_id") + 1).alias("query_id"), F.col("query").alias("before"))
+    return asked.join(before, "query_id", "left").select("query_id", F.concat_ws(" ", "before", "query").alias("query"))
 
 
 #: Pages whose texts are joined in one part of a document.

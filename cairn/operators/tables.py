@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.fields import RULE_ROW
-from cairn.functions.text import strip
+from cairn.functions.fields import RULE_ROW, first_rule_only, normal_header, without_headings, without_prefix
+from cairn.functions.text import squeeze, strip
 
 # Words that make a cell a header or a total.
 HEADER_WORDS = ["序号", "项目编码", "项目名称", "项目特征描述", "特征描述", "计量单位", "工程量", "金额", "综合单价", "合价", "col8", "col7"]
 TOTAL_WORDS = ["合计", "本页小计", "小计"]
+# The lines that head a table merged from several pages.
+PAGES_LINE, PAGES_HEADING, STAGE_HEADING = "第{0}页表格（跨页合并）", "## 第{0}页表格（跨页合并）\n", "## 【{1} - 第{0}页】（跨页合并）\n"
 
 
 def islands(pages: DataFrame, by: Sequence[str], page: str, order: Sequence[str], gap: int = 1) -> DataFrame:
@@ -39,6 +42,42 @@ def merged_tables(pages: DataFrame, by: Sequence[str], page: str, order: Sequenc
     return g.select(*by, "first_page", "last_page", "n_pages", pages_.alias("pages"), body.alias("body"))
 
 
+def merged_pages(chunks: DataFrame, gap: int = 1) -> DataFrame:
+    """Table chunks that run over pages made one: one row per run, with everything of the first chunk that isn't merged.
+
+    chunks: document_id, group_id, page_idx, chunk_id, stage, text, content, markdown, n_rows, bbox (array of four).
+    Chunks of one document and group on consecutive pages (at most ``gap`` apart; the same page again begins a new run)
+    are merged: text under a line with the stage and the pages, without the chunks' own marks; content under one
+    heading, without the chunks' own; markdown with one rule row per page; n_rows summed; pages, n_pages; bbox the box
+    around the first and the last. A blank group is never merged. Runs of one chunk stay as they are. What is
+    gathered is bounded by the pages that one table covers.
+    """
+    by = ["document_id", "group_id"]
+    lone = F.when(F.length(strip("group_id")) > 0, F.lit("")).otherwise(F.coalesce("chunk_id", F.lit("")))
+    rows = islands(chunks.withColumn("lone", F.coalesce(lone, F.col("chunk_id"))), [*by, "lone"], "page_idx", ["chunk_id"], gap)
+    kept = ["page_idx", "chunk_id", "stage", "text", "content", "markdown", "n_rows", "bbox"]
+    g = rows.groupBy(*by, "lone", "island").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("c"))
+    first, last = F.col("c")[0], F.element_at("c", -1)
+    many, stage = F.size("c") > 1, F.nullif(first["stage"], F.lit(""))
+    span = F.concat((first["page_idx"] + 1).cast("string"), F.lit("-"), (last["page_idx"] + 1).cast("string"))
+    some = lambda f, clean: F.transform(F.filter("c", lambda x: F.length(x[f]) > 0), lambda x: clean(x[f]))
+    line = lambda form: F.concat(*[{"{0}": span, "{1}": stage}.get(x, F.lit(x)) for x in re.split(r"(\{\d\})", form)])
+    text = F.concat_ws("\n", F.concat(F.lit("【"), stage, F.lit("】")), line(PAGES_LINE), some("text", without_prefix))
+    head = F.coalesce(line(STAGE_HEADING), line(PAGES_HEADING))
+    content = F.concat_ws("\n\n", head, some("content", without_headings))
+    markdown = F.concat_ws("\n\n", some("markdown", first_rule_only))
+    box = F.array(*[(F.least if i < 2 else F.greatest)(first["bbox"][i], last["bbox"][i]) for i in range(4)])
+    either = lambda merged, f: F.when(many, merged).otherwise(first[f])
+    return g.select(
+        *by, first["chunk_id"].alias("chunk_id"), first["page_idx"].alias("page_idx"), first["stage"].alias("stage"),
+        either(text, "text").alias("text"), either(content, "content").alias("content"),
+        either(F.coalesce(F.nullif(markdown, F.lit("")), first["markdown"]), "markdown").alias("markdown"),
+        F.aggregate("c", F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x["n_rows"], F.lit(0))).alias("n_rows"),
+        F.transform("c", lambda x: x["page_idx"]).alias("pages"), F.size("c").cast("bigint").alias("n_pages"),
+        F.when(many & first["bbox"].isNotNull() & last["bbox"].isNotNull(), box).otherwise(first["bbox"]).alias("bbox"),
+    )
+
+
 def renumbered(chunks: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The chunks with their place in the document: chunk_index from 0, references to chunks of the same document kept in step by old_index."""
     return chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
@@ -52,24 +91,26 @@ def cells(markdown: Column) -> Column:
 
 def effective(cell: Column) -> Column:
     """Whether a cell says something: not blank, dashes and dots, a header or a total."""
-    t = strip(F.btrim(F.btrim(cell, F.lit("|")), F.lit("-")))
-    return (F.length(t) > 0) & ~t.rlike(r"^[-—·. ]+$") & ~t.isin(*HEADER_WORDS, *TOTAL_WORDS)
+    t = strip(F.btrim(F.btrim(strip(cell), F.lit("|")), F.lit("-")))
+    return (F.length(t) > 0) & ~t.rlike(r"^[-—·. ]+$") & ~t.isin(*HEADER_WORDS, *TOTAL_WORDS) & ~F.lower(F.replace(t, F.lit(" "), F.lit(""))).isin("col7", "col8")
 
 
-def is_placeholder(table: Column, feature: str = "特征描述") -> Column:
+def is_placeholder(table: Column) -> Column:
     """Whether a table (rows of cells, the first the header) holds no data.
 
-    True without a body or cells, with less than 5 % of the cells filled, without an effective row, without an
-    effective cell in the feature column if there is one, and if all rows repeat the header or are totals. Rows that
-    share three or more and 60 % of the header's words repeat it; columns are counted on the whole header.
+    True without a body or cells, with less than 5 % of the cells filled, without an effective row, and without an
+    effective cell in the feature column if there is one. Rows that share three or more and 60 % of the header's words
+    (cells without white space) repeat it and, like rows with a total, hold no data; columns are counted on the whole
+    header. A null table is a placeholder.
     """
     header, body = F.try_element_at(table, F.lit(1)), F.filter(table, lambda _, i: i > 0)
-    words = F.array_distinct(F.filter(header, lambda c: F.length(c) > 0))
+    word = lambda r: F.array_distinct(F.filter(F.transform(r, squeeze), lambda c: F.length(c) > 0))
+    words = word(header)
     least = F.greatest(F.lit(3), F.floor(F.size(words) * 0.6))
-    repeats = lambda r: (F.size(words) > 0) & (F.size(F.array_intersect(F.array_distinct(r), words)) >= least)
+    repeats = lambda r: (F.size(words) > 0) & (F.size(F.array_intersect(word(r), words)) >= least)
     totals = lambda r: F.arrays_overlap(r, F.array(*map(F.lit, TOTAL_WORDS)))
     data = F.filter(body, lambda r: ~repeats(r) & ~totals(r))
-    at = F.filter(F.transform(header, lambda c, i: F.when(c.contains(feature) | (c == "feature_desc"), i)), lambda i: i.isNotNull())
+    at = F.filter(F.transform(header, lambda c, i: F.when(normal_header(c) == "feature_desc", i)), lambda i: i.isNotNull())
     filled = F.aggregate(body, F.lit(0), lambda s, r: s + F.size(F.filter(r, lambda c: F.length(c) > 0)))
     all_ = F.aggregate(body, F.lit(0), lambda s, r: s + F.size(r))
     no_row = ~F.exists(data, lambda r: F.exists(r, effective))

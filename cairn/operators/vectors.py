@@ -32,6 +32,12 @@ def normalized(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
 
 
+def hashed_words(terms: Column, dim: int = 16) -> Column:
+    """The default embedder: how many terms fall to each of ``dim`` (at most 16) places by the first hex digit of their md5."""
+    digit = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 1), 16, 10).cast("int") % dim)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(digit, lambda x: x == i)).cast("float"))
+
+
 def similarity(metric: str, a: Column, b: Column) -> Column:
     """Larger is nearer for every metric: ip, cosine, or l2 (the squared distance, negated)."""
     if metric == "ip":
@@ -114,7 +120,7 @@ def probed(queries: DataFrame, corpus: DataFrame, lists: DataFrame, probes: int,
     corpus is joined by group only with the queries that probe it. Recall is what the probes cost; see recall_of.
     """
     c = lists.select(F.col("grp").alias("list"), F.col("vec").alias("cvec"))
-    near = queries.filter("vec is not null").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")).join(F.broadcast(c))
+    near = queries.filter("vec is not null").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")).join(c)
     near = near.withColumn("near", F.round(dot(F.col("qvec"), F.col("cvec")), 6))
     chosen = top_per_group(near, ["query_id"], [F.col("near").desc(), F.col("list")], probes, "p").select("query_id", "list", "qvec")
     hits = corpus.filter("vec is not null").join(chosen, F.col("grp") == F.col("list"))

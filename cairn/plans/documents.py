@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions import fields as X
 from cairn.functions.text import WHITE_SPACE, strip
 from cairn.operators import chunking as C
 from cairn.operators import tables as B
@@ -70,10 +71,26 @@ def _(spark, d):
     return B.renumbered(c, ["document_id"], ["page_idx", "chunk_id"])
 
 
-@query("P10_placeholder_tables")
+_HEADS, _TOTALS = [*B.HEADER_WORDS], [*B.TOTAL_WORDS]
+_BARE = f"translate(x, {WS}, '')"
+_SPACE = "[ \\t\\n\\r\\x0B\\f\\x{00A0}\\x{3000}]+"
+_FEATURE = f"translate(lower(regexp_replace({T % 'c'}, '{_SPACE}', ' ', 'g')), '：（）', ':()') in ('项目特征描述', '特征描述', 'feature_desc')"
+_CORE = f"trim(trim(trim({T % 'c'}, '|'), '-'), {WS})"
+_SAYS = f"({_CORE} <> '' and not regexp_full_match({_CORE}, '[-—·. ]+') and not list_contains({_HEADS + _TOTALS!r}, {_CORE}) and lower(replace({_CORE}, ' ', '')) not in ('col7', 'col8'))"
+#: The tables of the chunks: rows of cells (cells), the first of them the header, and whether they hold no data.
+_TABLES = f"""t as (select chunk_id, content, headers, list_transform(list_filter(list_transform(string_split(content, chr(10)), lambda x: {T % 'x'}), lambda x: starts_with(x, '|') and not regexp_matches(x, '{X.RULE_ROW}')),
+        lambda x: list_transform(string_split(regexp_replace(x, '^\\||\\|$', '', 'g'), '|'), lambda c: {T % 'c'})) as cells from (select chunk_id, max(content) as content, max(headers_norm) as headers from doc_101_labeled where chunk_id is not null group by 1)),
+    w as (select *, cells[2:] as body, list_distinct(list_filter(list_transform(cells[1], lambda x: {_BARE}), lambda x: x <> '')) as words, list_transform(list_filter(list_transform(cells[1], lambda c, i: {{'f': {_FEATURE}, 'i': i}}), lambda c: c.f), lambda c: c.i) as feat from t),
+    v as (select *, list_filter(body, lambda r: not (len(words) > 0 and len(list_intersect(list_distinct(list_filter(list_transform(r, lambda x: {_BARE}), lambda x: x <> '')), words)) >= greatest(3, floor(len(words) * 0.6))) and not list_has_any(r, {_TOTALS!r})) as held from w),
+    p as (select *, coalesce(len(body) = 0 or len(flatten(body)) = 0 or len(list_filter(flatten(body), lambda c: c <> '')) < len(flatten(body)) * 0.05 or len(list_filter(flatten(held), lambda c: {_SAYS})) = 0
+        or (len(feat) > 0 and len(list_filter(held, lambda r: len(list_filter(list_transform(feat, lambda i: r[i]), lambda c: c is not null and {_SAYS})) > 0)) = 0), true) as placeholder from v)"""
+
+
+@query("P10_placeholder_tables", f"with {_TABLES} select chunk_id, cast(len(cells) as integer) as n_rows, placeholder from p")
 def _(spark, d):
     h = table(spark, d, "doc_101_labeled").filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("content").alias("content"))
-    return h.select("chunk_id", F.size(B.cells(F.col("content"))).alias("n_rows"), B.is_placeholder(B.cells(F.col("content"))).alias("placeholder"))
+    cells = B.cells(F.col("content"))
+    return h.select("chunk_id", F.when(F.col("content").isNotNull(), F.size(cells)).alias("n_rows"), B.is_placeholder(cells).alias("placeholder"))
 
 
 @query("P08_P09_keyword_filter", "select hit_id from doc_101_labeled where contains(headers_norm, 'feature_desc') or contains(headers_norm, '特征描述') or contains(text, '规格')")

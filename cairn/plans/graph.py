@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from cairn.functions.shared import checkpoint_dir
 from cairn.functions.text import WHITE_SPACE, is_blank, strip
 from cairn.operators import graph as G
 from cairn.operators import vectors as V
 from cairn.operators.references import key_of
 from cairn.plans.registry import registry
+from cairn.sources import files
 from cairn.sources.tables import questions, table
 
 QUERIES, SQL, query = registry()
@@ -19,8 +23,8 @@ K = f"lower(trim(%s, {WS}))"
 NEW = "timestamp '2025-07-01'"
 
 
-@query("A02_merge_entities", f"""with e as (select row_id, coalesce(entity_name, '') as entity_name, coalesce(entity_type, '') as entity_type, description from entities)
-    select entity_name, entity_type, min(row_id) as first_id, count(*) as n, array_to_string(list_sort(list(distinct description) filter ({T % 'description'} <> '')), ' | ') as description from e group by 1, 2""")
+@query("A02_merge_entities", f"""with e as (select row_id, coalesce(entity_name, '') as entity_name, coalesce(entity_type, '') as entity_type, description, entity_id, source_chunk_id, document_id from entities)
+    select entity_name, entity_type, min(row_id) as first_id, count(*) as n, arg_min_null(entity_id, row_id) as entity_id, arg_min_null(source_chunk_id, row_id) as source_chunk_id, arg_min_null(document_id, row_id) as document_id, array_to_string(list_sort(list(distinct description) filter ({T % 'description'} <> '')), ' | ') as description from e group by 1, 2""")
 def _(spark, d):
     return G.merge_entities(table(spark, d, "entities"))
 
@@ -28,7 +32,7 @@ def _(spark, d):
 _R = "coalesce(source_entity, '') as source_entity, coalesce(target_entity, '') as target_entity, coalesce(relation_type, '') as relation_type"
 
 
-@query("A03_merge_relations", f"""select {_R}, count(*) as n, round(sum(coalesce(weight, 1.0)), 6) as weight,
+@query("A03_merge_relations", f"""select {_R}, count(*) as n, round(sum(coalesce(weight, 1.0)), 6) as weight, arg_min_null(keywords, row_id) as keywords,
     array_to_string(list_sort(list(distinct description) filter ({T % 'description'} <> '')), ' | ') as description from relations group by 1, 2, 3""")
 def _(spark, d):
     return G.merge_relations(table(spark, d, "relations"))
@@ -45,6 +49,17 @@ def _(spark, d):
     return G.upsert_entities(e.filter(~new), e.filter(new))
 
 
+@query("K08_merged_by_name", f"""with e as (select *, {K % 'entity_name'} as key from entities where {T % 'entity_name'} <> ''),
+    t as (select key, description, min(row_id) as o from e where {T % 'description'} <> '' group by 1, 2),
+    j as (select key, string_agg(description, ';' order by o, description) as description from t group by key),
+    h as (select key, arg_max({{'t': entity_type, 'd': document_id}}, {{'a': loaded_at, 'b': row_id}}) as l, count(*) as n from e group by key)
+    select key, l.t as entity_type, l.d as document_id, n, description from h left join j using (key)""")
+def _(spark, d):
+    e = table(spark, d, "entities")
+    new = F.col("loaded_at") >= F.expr("timestamp_ntz '2025-07-01 00:00:00'")
+    return G.upsert_entities(e.filter(~new), e.filter(new), "entity_name")
+
+
 @query("K09_upsert_relations", f"""with r as (select *, {K % 'source_entity'} as source, {K % 'target_entity'} as target, coalesce(relation_type, '') as kind from relations where {T % 'source_entity'} <> '' and {T % 'target_entity'} <> ''),
     t as (select source, target, kind, description, min(row_id) as o from r where {T % 'description'} <> '' group by 1, 2, 3, 4),
     j as (select source, target, kind, string_agg(description, ';' order by o, description) as description from t group by 1, 2, 3),
@@ -58,7 +73,7 @@ def _(spark, d):
     return G.upsert_relations(r.filter(~new), r.filter(new))
 
 
-@query("K10_upsert_metadata", """with m as (select document_id, max(namespace) as namespace, max(status) as status from kg_metadata where document_id is not null group by 1),
+@query("K10_upsert_metadata", """with m as (select document_id, max(namespace) as namespace, nullif(max({'a': coalesce(try_cast(translate(updated_at, '/T', '- ') as timestamp), timestamp '0001-01-01'), 's': coalesce(status, '')})['s'], '') as status from kg_metadata where document_id is not null group by 1),
     e as (select document_id, cast(count(*) as integer) as entity_count from entities where document_id is not null group by 1),
     r as (select document_id, cast(count(*) as integer) as relation_count from relations where document_id is not null group by 1)
     select document_id, namespace, coalesce(status, 'processing') as status, coalesce(entity_count, 0) as entity_count, coalesce(relation_count, 0) as relation_count
@@ -90,9 +105,9 @@ def _(spark, d):
 
 _SEEDS = f"seeds as (select distinct {K % 'entity_id'} as node from seed_entities)"
 _HOPS = f"""{_EDGES}, {_SEEDS},
-    one as (select distinct v as node from links join seeds on u = node where v not in (select node from seeds)),
-    two as (select distinct v as node from links join one on u = node where v not in (select node from seeds) and v not in (select node from one)),
-    hops as (select node, 0 as depth from seeds union all select node, 1 from one union all select node, 2 from two)"""
+    one as materialized (select distinct v as node from links join seeds on u = node where v not in (select node from seeds)),
+    two as materialized (select distinct v as node from links join one on u = node where v not in (select node from seeds) and v not in (select node from one)),
+    hops as materialized (select node, 0 as depth from seeds union all select node, 1 from one union all select node, 2 from two)"""
 
 
 @query("X12_two_hops", f"with {_HOPS} select node, depth from hops")
@@ -101,7 +116,7 @@ def _(spark, d):
     return G.k_hop(seeds, G.edges_of(table(spark, d, "relations")), 2)
 
 
-@query("X12_induced_edges", f"with {_HOPS} select row_id, source, target from edges where source in (select node from hops) and target in (select node from hops)")
+@query("X12_induced_edges", f"with {_HOPS}, a as materialized (select row_id, source, target from edges semi join hops on source = node) select row_id, source, target from a semi join hops on target = node")
 def _(spark, d):
     edges = G.edges_of(table(spark, d, "relations"))
     seeds = table(spark, d, "seed_entities").select(key_of("entity_id").alias("node"))
@@ -224,6 +239,39 @@ def _(spark, d):
     return G.merge_contexts([_near_local(spark, d), _near_global(spark, d), _kind(_near_chunks(spark, d), "chunk")])
 
 
+_MODE = {
+    "local": "select * from local", "global": "select * from overall", "hybrid": "select * from local union select * from overall",
+    "mix": "select * from local union select * from overall union select query, kind, key, score from near where kind = 'chunk'",
+}
+_MODES = ", ".join(f"m_{m} as ({_RANK} ({q}))" for m, q in _MODE.items())
+_BAD = "unknown mode naive; known: local, global, hybrid, mix"
+
+
+@query("X11_X13_U02_modes", f"with {_LOCAL_NEAR}, {_GLOBAL_NEAR}, {_MODES} {' union all '.join(f'select *, {m!r} as mode from m_{m}' for m in _MODE)} union all select distinct query, 'error', '{_BAD}', 0.0, 1, 'naive' from near where kind = 'chunk'")
+def _(spark, d):
+    searches = {"local": _near_local(spark, d), "global": _near_global(spark, d), "vector": _kind(_near_chunks(spark, d), "chunk")}
+    out = None
+    for mode in ("local", "global", "hybrid", "mix", "naive"):
+        part = G.unified(searches, mode)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("J03_U03_neighbours", f"with {_HOPS} select node from one")
+def _(spark, d):
+    seeds = table(spark, d, "seed_entities").select(key_of("entity_id").alias("node"))
+    return G.k_hop(seeds, G.edges_of(table(spark, d, "relations")), 1).filter("depth = 1").select("node")
+
+
+@query("K12_S16_graph_files", f"with {_EDGES} select distinct source, target from edges")
+def _(spark, d):
+    at = f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
+    edges = G.edges_of(table(spark, d, "relations")).select("source", "target").distinct()
+    files.write_graphml(at, edges.select(F.explode(F.array("source", "target")).alias("node")).distinct(), edges)
+    # a node that only its edges name is none of the graph's, so edges come back through the nodes
+    return G.induced(files.graphml(spark, f"{at}/edges")[1], files.graphml(spark, f"{at}/nodes")[0]).select("source", "target")
+
+
 @query("J04_endpoints", f"with {_EDGES}, n as (select distinct {K % 'entity_id'} as node from entities where {T % 'entity_id'} <> '') select row_id, source, target from edges where source in (select node from n) and target in (select node from n)")
 def _(spark, d):
     nodes = table(spark, d, "entities").filter(~is_blank("entity_id")).select(key_of("entity_id").alias("node"))

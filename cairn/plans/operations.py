@@ -152,6 +152,7 @@ def _(spark, d):
 
 _Q = f"q as (select distinct {T % 'query'} as question from doc_101_labeled where {T % 'query'} <> '')"
 _ROUTE = "case when regexp_matches(question, '今天|最新|现在|today|latest|now') then 'web' when regexp_matches(question, '[A-Z]+[0-9]{4,}') then 'keyword' when regexp_matches(question, '关系|影响|相连|relat|between') then 'graph' else 'vector' end"
+_TERMS = f"regexp_extract_all(lower(%s), '{TERM}', 1)"
 _N = f"len(regexp_extract_all(lower(question), '{TERM}', 1))"
 
 
@@ -169,19 +170,30 @@ def _(spark, d):
     return _questions(spark, d).select("question", A.depth(F.col("question")).alias("depth"))
 
 
-@query("X16_X19_adaptive_loop")
+_OVERLAP = f"case when len(list_distinct({_TERMS % 'question'})) = 0 then 0.0 else round(len(list_intersect(list_distinct({_TERMS % 'question'}), list_distinct({_TERMS % 'text'}))) / len(list_distinct({_TERMS % 'question'})), 6) end"
+
+
+@query("X16_X19_adaptive_loop", f"""with {_Q}, h as (select {T % 'query'} as question, coalesce(page_idx, 0) % 3 as round, text from doc_101_labeled where {T % 'query'} <> '' and text is not null),
+    g as (select question, round, cast(count_if({_OVERLAP} >= 0.1) as bigint) as n from h group by 1, 2), f as (select question, min({{'r': round, 'n': n}}) as f from g where n > 0 and round <= 2 group by 1),
+    s as (select question, {_ROUTE} = 'web' as web, f from q left join f using (question))
+    select question, case when web then 'web' when f is not null then 'answered' else 'given up' end as state, cast(case when web then 0 else coalesce(f.r, 2) end as integer) as rounds_used, cast(case when web then 0 else coalesce(f.n, 0) end as bigint) as n_documents from s""")
 def _(spark, d):
     h = table(spark, d, "doc_101_labeled").select(strip("query").alias("question"), "text", "page_idx").filter("question <> '' and text is not null")
     tried = h.select("question", (F.coalesce("page_idx", F.lit(0)) % 3).cast("int").alias("round"), "text")
     return A.answered(_questions(spark, d), tried)
 
 
-@query("S01_S04_decoded_files", f"select row_id, entity_name as text from entities where {T % 'entity_name'} <> ''")
+# odd rows are kept as GBK, and names of ASCII characters of every third row with a byte that only Latin-1 has
+@query("S01_S04_decoded_files", f"select row_id, case when row_id % 3 = 2 and regexp_full_match(entity_name, '[ -~]+') then entity_name || chr(255) else entity_name end as text from entities where {T % 'entity_name'} <> ''")
 def _(spark, d):
     e = table(spark, d, "entities").filter(F.length(strip("entity_name")) > 0)
-    raw = F.when(F.col("row_id") % 2 == 0, F.encode("entity_name", "UTF-8")).otherwise(F.encode("entity_name", "UTF-8"))
-    out = S.texts(e.select(F.concat(F.col("row_id").cast("string"), F.lit(".txt")).alias("path"), raw.alias("content")))
-    return out.filter(S.suffix(F.col("path")) == "txt").select(F.regexp_extract("path", "^([0-9]+)", 1).cast("bigint").alias("row_id"), "text")
+    latin = (F.col("row_id") % 3 == 2) & F.col("entity_name").rlike("^[ -~]+$")
+    name = F.when(latin, F.concat("entity_name", F.lit("\u00ff"))).otherwise(F.col("entity_name"))
+    encoding = F.when(latin, "latin-1").when(F.col("row_id") % 2 == 1, "gbk").otherwise("utf-8")
+    raw = S.encoded(e.select(F.concat(F.col("row_id").cast("string"), F.when(F.col("row_id") % 5 == 0, ".TXT").otherwise(".md")).alias("path"), name.alias("text"), encoding.alias("encoding")))
+    # by their endings: txt and what has an unknown one are both read as text
+    out = S.texts(raw.filter(S.suffix(F.col("path")) == "txt")).unionByName(S.texts(raw.filter(S.suffix(F.col("path")) != "txt")))
+    return out.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("bigint").alias("row_id"), "text")
 
 
 @query("S20_html_text", "select doc_id, replace(replace(text, '<', '['), '&', '+') as text from documents")

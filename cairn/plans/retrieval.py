@@ -68,7 +68,7 @@ def _(spark, d):
     sparse = L.bm25(_asked(spark), counts)
     top = sparse.groupBy("query_id").agg(F.max("score").alias("m"))
     dense = L.matched_share(_asked(spark), counts).withColumnRenamed("score", "dense")
-    f = dense.join(sparse, ["query_id", "id"], "left").join(F.broadcast(top), "query_id")
+    f = dense.join(sparse, ["query_id", "id"], "left").join(top, "query_id")
     s = F.round(0.7 * F.col("dense") + 0.3 * F.round(F.coalesce("score", F.lit(0.0)) / F.col("m"), 6), 6)
     return L.best(f.select("query_id", "id", s.alias("score")), 10)
 
@@ -83,10 +83,10 @@ def _(spark, d):
     e = table(spark, d, "embeddings").filter("embedding is not null")
     asked = _asked(spark).join(e, F.col("vec_id") == F.col("query_id") * 20).select("query_id", F.col("embedding").alias("qvec"))
     held = docs.select(F.col("doc_id").alias("id")).join(e, F.col("id") == F.col("vec_id"))
-    dense = held.join(F.broadcast(asked)).select("query_id", "id", F.round(V.dot(F.col("qvec"), F.col("embedding")), 6).alias("dense"))
+    dense = held.join(asked).select("query_id", "id", F.round(V.dot(F.col("qvec"), F.col("embedding")), 6).alias("dense"))
     sparse = L.bm25(_asked(spark), L.term_counts(_asked(spark), docs, "doc_id", "text"))
     top = sparse.groupBy("query_id").agg(F.max("score").alias("m"))
-    f = dense.join(sparse, ["query_id", "id"], "full").join(F.broadcast(top), "query_id", "left")
+    f = dense.join(sparse, ["query_id", "id"], "full").join(top, "query_id", "left")
     s = F.round(0.7 * F.coalesce("dense", F.lit(0.0)) + 0.3 * F.coalesce(F.col("score") / F.col("m"), F.lit(0.0)), 6)
     return L.best(f.select("query_id", "id", s.alias("score")), 10)
 

@@ -70,7 +70,13 @@ def _(spark, d):
     return table(spark, d, "doc_101_labeled").select("hit_id", X.without_headings("content").alias("body"))
 
 
-@query("F10_F13_clean_tables")
+_CELL = f"trim(trim({T % "regexp_replace(c, '(?i)(<br[ \\t]*/?>)+', '', 'g')"}, '-'), '|')"
+_EMPTY = f"len(list_filter(string_split(trim({T % 'x'}, '|'), '|'), lambda c: {T % _CELL} <> '')) = 0"
+_KEPT = f"list_filter(string_split(content, chr(10)), lambda x: {T % 'x'} <> '' and (not starts_with({T % 'x'}, '|') or regexp_matches({T % 'x'}, '{X.RULE_ROW}') or not ({_EMPTY})))"
+
+
+@query("F10_F13_clean_tables", f"""with k as (select hit_id, {_KEPT} as kept from doc_101_labeled), r as (select *, list_transform(kept, lambda x: regexp_matches({T % 'x'}, '{X.RULE_ROW}')) as rule from k)
+    select hit_id, array_to_string(list_filter(kept, lambda x, i: not rule[i] or i = list_position(rule, true)), chr(10)) as cleaned from r""")
 def _(spark, d):
     h = table(spark, d, "doc_101_labeled")
     return h.select("hit_id", X.first_rule_only(X.clean_table("content")).alias("cleaned"))

@@ -42,6 +42,22 @@ def texts(contents: DataFrame) -> DataFrame:
     return contents.select("path", "content").mapInArrow(_decode, "path string, text string")
 
 
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for text, enc in zip(b.column("text").to_pylist(), b.column("encoding").to_pylist()):
+            try:
+                out.append(text.encode(enc) if text is not None else None)
+            except (UnicodeEncodeError, LookupError, TypeError):
+                out.append(text.encode())
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+
+
+def encoded(rows: DataFrame) -> DataFrame:
+    """Rows (path, text, encoding) as contents: path, content. Where the encoding is unknown or lacks a character, UTF-8 is used."""
+    return rows.select("path", "text", "encoding").mapInArrow(_encode, "path string, content binary")
+
+
 def html_text(html: Column) -> Column:
     """What an HTML page says: scripts, styles and tags removed, entities of the markup itself resolved."""
     s = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")
@@ -73,6 +89,25 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read("node", "id string").select(F.col("id").alias("node")), read("edge", "source string, target string")
 
 
+def write_graphml(path: str, nodes: DataFrame, edges: DataFrame) -> None:
+    """Nodes (node) and edges (source, target) as GraphML: files with a node or an edge per element under path/nodes and path/edges."""
+    save = lambda df, tag, at: df.write.format("xml").option("rowTag", tag).option("rootTag", "graphml").option("attributePrefix", "_").save(f"{path}/{at}")
+    save(nodes.select(F.col("node").alias("_id")), "node", "nodes")
+    save(edges.select(F.col("source").alias("_source"), F.col("target").alias("_target")), "edge", "edges")
+
+
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """CSV files with a header in which quotes are doubled and texts may hold line ends; with ``bom`` each begins with the mark that spreadsheets look for."""
+    first, *rest = df.columns
+    rows = df.select(F.col(first).alias("\ufeff" + first), *rest) if bom else df
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_csv wrote; a mark at the beginning is no part of the first value."""
+    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', enforceSchema=True)
+
+
 def write_csv_per_group(df: DataFrame, path: str, by: str, optional: tuple[str, ...] = ()) -> list[str]:
     """One folder of CSV files per value of ``by``, rows without one left out; optional columns only if any row has a value.
 

@@ -8,12 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.fields import RULE_ROW, first_rule_only, normal_header, without_headings, without_prefix
+from cairn.functions.fields import RULE_ROW, clean_table, first_rule_only, normal_header, without_headings, without_prefix
 from cairn.functions.text import squeeze, strip
+from cairn.operators.ranking import top_per_group
 
 # Words that make a cell a header or a total.
 HEADER_WORDS = ["序号", "项目编码", "项目名称", "项目特征描述", "特征描述", "计量单位", "工程量", "金额", "综合单价", "合价", "col8", "col7"]
 TOTAL_WORDS = ["合计", "本页小计", "小计"]
+# Words that make a text beside a table worth more.
+NOTE_WORDS = ["说明", "注", "适用范围", "定义", "条件", "备注"]
 # The lines that head a table merged from several pages.
 PAGES_LINE, PAGES_HEADING, STAGE_HEADING = "第{0}页表格（跨页合并）", "## 第{0}页表格（跨页合并）\n", "## 【{1} - 第{0}页】（跨页合并）\n"
 
@@ -42,6 +45,51 @@ def merged_tables(pages: DataFrame, by: Sequence[str], page: str, order: Sequenc
     return g.select(*by, "first_page", "last_page", "n_pages", pages_.alias("pages"), body.alias("body"))
 
 
+def table_lines(content: Column) -> Column:
+    """The lines of a text that are rows of a table in markdown."""
+    return F.array_join(F.filter(F.split(content, "\n"), lambda x: strip(x).startswith("|")), "\n")
+
+
+def table_chunks(pages: DataFrame) -> DataFrame:
+    """What is stored of each table on a page: all columns, markdown (cleaned), chunk_text, chunk_content, group_id, n_rows.
+
+    pages: page_idx (from 0), stage, headers, content. The text is made to be searched, the content to be shown; both
+    begin with the stage, if there is one, and the page. Tables with equal headers and stage have one group_id.
+    """
+    stage, page = F.nullif("stage", F.lit("")), (F.col("page_idx") + 1).cast("string")
+    md = clean_table(table_lines(F.col("content")))
+    rows = pages.withColumn("markdown", md)
+    text = F.concat_ws("\n", F.concat(F.lit("【"), stage, F.lit("】")), F.concat(F.lit("第"), page, F.lit("页表格")), "markdown")
+    head = F.coalesce(F.concat(F.lit("## 【"), stage, F.lit(" - 第"), page, F.lit("页】\n")), F.concat(F.lit("## 第"), page, F.lit("页表格\n")))
+    seed = F.concat(F.coalesce("headers", F.lit("")), F.lit("|"), F.coalesce("stage", F.lit("")))
+    group_id = F.substring(F.md5(seed), 1, 12)
+    return rows.withColumns({"chunk_text": text, "chunk_content": F.concat_ws("\n", head, "markdown"), "group_id": group_id, "n_rows": F.size(cells(F.col("markdown"))).cast("bigint")})
+
+
+def nearby_texts(pages: DataFrame, key: str, most: int = 1200, best: int = 5, least: int = 50) -> DataFrame:
+    """The text around the table of each page: key, description.
+
+    pages: key, content. Lines above the first row of the table and below the last one are taken from the table
+    outwards as long as they have at most ``most`` characters together, on either side; of these the ``best`` with a
+    note word, then the nearer ones, the upper side first. Descriptions under ``least`` characters are left out, as
+    are pages without a table.
+    """
+    line = pages.select(key, F.split("content", "\n").alias("lines")).withColumn("row", F.transform("lines", lambda x: strip(x).startswith("|")))
+    line = line.filter(F.array_contains("row", True))
+    first, last = F.array_position("row", True), F.size("row") - F.array_position(F.reverse("row"), True) + 1
+    each = line.select(key, first.alias("first"), last.alias("last"), F.posexplode("lines").alias("i", "t")).withColumn("i", F.col("i") + 1)
+    each = each.withColumn("t", strip("t")).filter((F.length("t") > 0) & ((F.col("i") < F.col("first")) | (F.col("i") > F.col("last"))))
+    each = each.withColumn("side", F.when(F.col("i") < F.col("first"), 0).otherwise(1)).withColumn("far", F.when(F.col("side") == 0, F.col("first") - F.col("i")).otherwise(F.col("i") - F.col("last")))
+    near = within_length(each, [key, "side"], ["far"], F.length("t"), most)
+    note = F.lit(False)
+    for w in NOTE_WORDS:
+        note = note | F.col("t").contains(w)
+    near = top_per_group(near.withColumn("note", note.cast("int")), [key, "side"], [F.col("note").desc(), F.col("far")], best)
+    parts = F.array_sort(F.collect_list(F.struct("side", "rank", "t")))
+    out = near.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("description"))
+    return out.filter(F.length("description") >= least)
+
+
 def merged_pages(chunks: DataFrame, gap: int = 1) -> DataFrame:
     """Table chunks that run over pages made one: one row per run, with everything of the first chunk that isn't merged.
 

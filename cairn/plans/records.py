@@ -54,11 +54,12 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.lit(0).cast("bigint").alias("grp"))
 
 
-# the documents a search may give are picked before it ranks
-@query("P05_within_documents", f"with {_E}, s as (select q.id as query_id, e.id, round(list_dot_product(q.v, e.v), 6) + 0.0 as score from q, e where e.id in (select doc_id from documents where lang = 'zh')) {_RANKED} s {_TOP.format(k=10)}")
+# the documents whose rows a search may give are picked before it ranks
+@query("P05_within_documents", f"with {_E}, s as (select q.id as query_id, e.id, round(list_dot_product(q.v, e.v), 6) + 0.0 as score from q, e where e.id in (select row_id from entities where document_id in (select document_id from kg_metadata where status = 'completed'))) {_RANKED} s {_TOP.format(k=10)}")
 def _(spark, d):
     e = _vectors(spark, d)
-    allowed = table(spark, d, "documents").filter("lang = 'zh'").select(F.col("doc_id").alias("id"))
+    done = table(spark, d, "kg_metadata").filter("status = 'completed'").select("document_id")
+    allowed = table(spark, d, "entities").join(done, "document_id", "left_semi").select(F.col("row_id").alias("id"))
     return V.nearest(e.filter("id % 20 = 0"), e.join(allowed, "id", "left_semi"), 10)
 
 

@@ -5,8 +5,13 @@ The queries are every row whose vec_id is divisible by 20, searched for among al
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
+from cairn.functions.shared import checkpoint_dir
+from cairn.operators import index as I
 from cairn.operators import vectors as V
 from cairn.plans.registry import registry
 from cairn.sources.tables import table
@@ -101,6 +106,47 @@ def _(spark, d):
     return V.recall_of(V.probed(q, e, V.centroids(e), PROBES, 10), V.nearest(q, e, 10))
 
 
+#: Parts and centers of the product codes, candidates that are scored exactly; share of the trained lists that is probed.
+CODE_PARTS, CODE_CENTERS, CANDIDATES, PROBED = 8, 256, 200, 0.65
+
+
+def _coded(spark, d):
+    q, e = _rows(spark, d)
+    at = f"{checkpoint_dir(spark)}/codes-{uuid.uuid4().hex}"
+    books = I.fit(e, CODE_PARTS, CODE_CENTERS)
+    # the index is saved and loaded as it would be for later searches
+    I.product_codes(e, books).write.parquet(at)
+    return I.search_codes(q, spark.read.parquet(at), e, books, 10, CANDIDATES)
+
+
+@query("X04_V08_K18_product_codes")
+def _(spark, d):
+    return _coded(spark, d)
+
+
+@query("X04_V08_codes_recall")
+def _(spark, d):
+    q, e = _rows(spark, d)
+    return V.recall_of(_coded(spark, d), V.nearest(q, e, 10))
+
+
+def _trained(spark, d):
+    q, e = _rows(spark, d)
+    n = max(1, min(4096, math.isqrt(4 * e.count())))
+    return I.search_lists(q, e, I.fit(e, 1, n)[0], math.ceil(n * PROBED), 10, 40)
+
+
+@query("X04_trained_lists")
+def _(spark, d):
+    return _trained(spark, d)
+
+
+@query("X04_trained_recall")
+def _(spark, d):
+    q, e = _rows(spark, d)
+    return V.recall_of(_trained(spark, d), V.nearest(q, e, 10))
+
+
 @query("V11_zero_shot", f"with {_E}, {_LISTS}, s as (select id, list, round(list_dot_product(v, cv), 6) as score from e, c) select id as vec_id, list as label, score from s qualify row_number() over (partition by id order by score desc, list) = 1")
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("grp"))

@@ -107,3 +107,17 @@ def answered(questions: DataFrame, retrieved: DataFrame, least: float = 0.1, rou
     state = F.when(web, "web").when(F.col("f").isNotNull(), "answered").otherwise("given up")
     used = F.when(web, 0).otherwise(F.coalesce(F.col("f.round"), F.lit(rounds)))
     return q.select("question", state.alias("state"), used.cast("int").alias("rounds_used"), F.when(web, 0).otherwise(F.coalesce("f.n", F.lit(0))).cast("bigint").alias("n_documents"))
+
+
+def steps(loop: DataFrame) -> DataFrame:
+    """The adaptive loop step by step, of what ``answered`` gives: question, step (from 1), node.
+
+    Every question is routed; what isn't for the web is retrieved and graded, rewritten and tried again as often as it
+    took, and generated from or given up.
+    """
+    nodes = lambda *n: F.array(*map(F.lit, n))
+    again = F.flatten(F.array_repeat(nodes("retrieve", "grade", "rewrite"), F.col("rounds_used")))
+    last = F.when(F.col("state") == "answered", "generate").otherwise("give_up")
+    tried = F.concat(nodes("route"), again, nodes("retrieve", "grade"), F.array(last))
+    path = F.when(F.col("state") == "web", nodes("route", "web_search", "generate")).otherwise(tried)
+    return loop.select("question", F.posexplode(path).alias("step", "node")).select("question", (F.col("step") + 1).cast("bigint").alias("step"), "node")

@@ -85,6 +85,14 @@ def matching(rows: DataFrame, where: Mapping[str, object]) -> DataFrame:
     return rows
 
 
+def any_word(text: Column, words: Sequence[str]) -> Column:
+    """Whether a text holds one of the words; null for a null text."""
+    found = F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
+
+
 def adaptive(hits: DataFrame, k: int = 10) -> DataFrame:
     """As much as a question needs: query, chunk_id, depth, rank, of hits (query, chunk_id, document_id, score, words).
 

@@ -55,3 +55,10 @@ def keywords_of(reply: Column | str, field: str) -> Column:
     """A list of non-blank strings from a JSON reply; empty where it isn't one."""
     parsed = F.from_json(F.get_json_object(reply, "$." + field), "array<string>")
     return F.filter(F.coalesce(parsed, F.array().cast("array<string>")), lambda x: F.length(strip(x)) > 0)
+
+
+def score_in(reply: Column | str, name: str, flags: Sequence[str]) -> Column:
+    """The score a judge's JSON reply gives: ``<name>_score``, else ``<name>``, else 1 or 0 of the first flag that it has; null if it has none."""
+    number = lambda key: F.get_json_object(reply, f"$.{key}").try_cast("double")
+    flag = lambda key: F.get_json_object(reply, f"$.{key}").try_cast("boolean").cast("int").cast("double")
+    return F.coalesce(number(f"{name}_score"), number(name), *map(flag, flags))

@@ -10,6 +10,7 @@ from cairn.functions import fields as X
 from cairn.functions.shared import checkpoint_dir
 from cairn.functions.text import WHITE_SPACE, is_blank, strip
 from cairn.operators import chunking as C
+from cairn.operators import dialogue as D
 from cairn.operators import lexical as L
 from cairn.operators import lifecycle as Y
 from cairn.operators import pipeline as P
@@ -18,6 +19,8 @@ from cairn.operators import vectors as V
 from cairn.operators.evaluation import overlap
 from cairn.operators.ranking import top_per_group
 from cairn.operators.references import key_of
+from cairn.plans.operations import QUERIES as LOOP
+from cairn.plans.operations import SQL as OPERATIONS
 from cairn.plans.registry import registry
 from cairn.plans.retrieval import _ASK, _bm25, _asked
 from cairn.sources import files as S
@@ -336,3 +339,63 @@ def _(spark, d):
     e.repartition(4).write.partitionBy("day").parquet(at)
     Y.compact(spark.read.parquet(at), "day", to)
     return Y.file_counts(spark.read.parquet(to), "day").select("day", F.col("n_rows").alias("n"), "n_files")
+
+
+@query("P13_three_filters", f"select distinct chunk_id from doc_101_labeled where chunk_id is not null and (contains(text, '面积') or contains(text, '厚度') or contains(text, 'area')) and (contains(headers_norm, 'feature_desc') or contains(text, '规格')) and contains(content, chr(10) || '|')")
+def _(spark, d):
+    has = lambda c, words: P.any_word(F.col(c), words)
+    h = table(spark, d, "doc_101_labeled").filter("chunk_id is not null").filter(has("text", ["面积", "厚度", "area"]))
+    return h.filter(has("headers_norm", ["feature_desc"]) | has("text", ["规格"])).filter(has("content", ["\n|"])).select("chunk_id").distinct()
+
+
+@query("M05_context_rows", "select row_id, to_json({'entity_name': entity_name, 'entity_type': entity_type, 'document_id': document_id}) as context from entities")
+def _(spark, d):
+    doc = F.to_json(F.struct("entity_name", "entity_type", "document_id"), {"ignoreNullFields": "false"})
+    return table(spark, d, "entities").select("row_id", doc.alias("context"))
+
+
+@query("C08_read_pages", f"""select distinct chunk_id, concat_ws(chr(10), '【' || nullif(stage, '') || '】', '第' || (page_idx + 1) || '页（OCR识别）', {T % 'text'}) as chunk from doc_101_labeled
+    where chunk_id is not null and page_idx is not null and not contains(content, chr(10) || '|') and length({T % 'text'}) >= 50 and (contains(text, '规格') or contains(text, '材质'))""")
+def _(spark, d):
+    h = table(spark, d, "doc_101_labeled").filter("chunk_id is not null and page_idx is not null").filter(~F.col("content").contains("\n|"))
+    h = h.filter((F.length(strip("text")) >= 50) & P.any_word(F.col("text"), ["规格", "材质"]))
+    stage = F.concat(F.lit("【"), F.nullif("stage", F.lit("")), F.lit("】"))
+    page = F.concat(F.lit("第"), (F.col("page_idx") + 1).cast("string"), F.lit("页（OCR识别）"))
+    return h.select("chunk_id", F.concat_ws("\n", stage, page, strip("text")).alias("chunk")).distinct()
+
+
+@query("K05_replaced_rows", "select vec_id from embeddings where label >= 5")
+def _(spark, d):
+    at = _folder(spark, "replaced")
+    e = table(spark, d, "embeddings")
+    e.filter("label < 5").select("vec_id").write.parquet(at)
+    e.filter("label >= 5").select("vec_id").write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+@query("S10_first_per_folder", """with p as (select distinct 'reports/' || document_id || case when hit_id % 10 = 0 then 'x' else '' end || '/' || source_file || '.pdf' as path from doc_101_labeled where document_id is not null and source_file is not null),
+    f as (select regexp_extract(path, '^reports/([0-9]+)/', 1) as folder, path from p where regexp_matches(path, '^reports/[0-9]+/')) select folder, min(path) as path from f where folder in (select cast(document_id as varchar) from kg_metadata where status = 'completed') group by 1""")
+def _(spark, d):
+    odd = F.when(F.col("hit_id") % 10 == 0, "x").otherwise("")
+    h = table(spark, d, "doc_101_labeled").filter("document_id is not null and source_file is not null")
+    paths = h.select(F.concat(F.lit("reports/"), "document_id", odd, F.lit("/"), "source_file", F.lit(".pdf")).alias("path")).distinct()
+    allowed = table(spark, d, "kg_metadata").filter("status = 'completed'").select(F.col("document_id").cast("string").alias("folder"))
+    return S.first_per_folder(paths, "reports", allowed)
+
+
+@query("X27_score_keys", """select event_id, round(case event_id % 4 when 0 then value when 1 then value / 2 when 2 then case when user_id % 2 = 0 then 1.0 else 0.0 end end, 6) as score from events""")
+def _(spark, d):
+    v = F.col("value").cast("string")
+    kind = F.col("event_id") % 4
+    reply = F.when(kind == 0, F.concat(F.lit('{"faithfulness_score": '), v, F.lit(', "faithfulness": 9}')))
+    reply = reply.when(kind == 1, F.concat(F.lit('{"faithfulness": '), (F.col("value") / 2).cast("string"), F.lit("}")))
+    reply = reply.when(kind == 2, F.concat(F.lit('{"grounded": '), (F.col("user_id") % 2 == 0).cast("string"), F.lit("}"))).otherwise("no object")
+    return table(spark, d, "events").select("event_id", F.round(R.score_in(reply, "faithfulness", ["grounded", "correct"]), 6).alias("score"))
+
+
+@query("ST6_X16_graph_steps", f"""with a as ({OPERATIONS["X16_X19_adaptive_loop"]}),
+    n as (select question, case state when 'web' then ['route', 'web_search', 'generate'] when 'answered' then list_concat(['route'], flatten(list_transform(range(rounds_used), lambda i: ['retrieve', 'grade', 'rewrite'])), ['retrieve', 'grade', 'generate'])
+        else list_concat(['route'], flatten(list_transform(range(rounds_used), lambda i: ['retrieve', 'grade', 'rewrite'])), ['retrieve', 'grade', 'give_up']) end as nodes from a)
+    select question, unnest(range(1, len(nodes) + 1)) as step, unnest(nodes) as node from n""")
+def _(spark, d):
+    return D.steps(LOOP["X16_X19_adaptive_loop"](spark, d))

@@ -77,6 +77,14 @@ def tsv(spark: SparkSession, path: str, schema: str, null: str = "（NULL）") -
     return spark.read.csv(path, schema=schema, sep="\t", header=True, nullValue=null)
 
 
+def first_per_folder(paths: DataFrame, root: str, allowed: DataFrame | None = None) -> DataFrame:
+    """The first path of each folder under ``root`` that is named by a number: folder, path. ``allowed`` (folder) keeps some of them only."""
+    rows = paths.select(F.regexp_extract("path", rf"(?:^|/){root}/([0-9]+)/", 1).alias("folder"), "path").filter("folder <> ''")
+    if allowed is not None:
+        rows = rows.join(allowed.select("folder").distinct(), "folder", "left_semi")
+    return rows.groupBy("folder").agg(F.min("path").alias("path"))
+
+
 def chunk_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Chunk files (one JSON object per line with an array ``chunks``) with a row per chunk: the chunk's fields and document_id."""
     one = spark.read.json(path, schema=f"document_id string, chunks array<struct<{schema}>>")

@@ -42,10 +42,11 @@ def brute(rows, least=0.7):
     return {(a, b): j for a, b in combinations(sorted(body), 2) if (j := N.jaccard(body[a], body[b], 5)) >= least}
 
 
-@pytest.mark.parametrize("hot", [100, 2])
-def test_all_pairs(spark, monkeypatch, hot):
+@pytest.mark.parametrize("small, hot, block", [(20, 2000, 2000), (2, 2000, 2000), (2, 3, 3)])
+def test_all_pairs(spark, monkeypatch, small, hot, block):
+    monkeypatch.setattr(N, "SMALL", small)
     monkeypatch.setattr(N, "HOT", hot)
-    monkeypatch.setattr(N, "BLOCK", 3 if hot == 2 else 100)
+    monkeypatch.setattr(N, "BLOCK", block)
     rng = random.Random(7)
     rows = corpus(rng)
     rows += rows[:20] + [(None, "abcdefgh", "abcdefgh"), ("short", "ab c", None), ("blank", " ", "　"), ("null", None, None), ("copy", "y", rows[0][1]), ("spaced", "y", " ".join(rows[0][1]))]
@@ -61,9 +62,9 @@ def test_bound_is_a_guarantee(spark):
     """Signatures that differ in any BOUND symbols share a key."""
     rng = np.random.default_rng(3)
     for _ in range(200):
-        a = rng.integers(0, 2**32, N.PARTS * N.SYMBOLS, dtype=np.uint64)
+        a = rng.integers(0, 2**16, N.PARTS * N.SYMBOLS, dtype=np.uint16)
         b = a.copy()
-        b[rng.choice(len(a), N.BOUND, replace=False)] += np.uint64(1)
+        b[rng.choice(len(a), N.BOUND, replace=False)] += np.uint16(1)
         k = N._masked(np.stack([a, b]), N.ERRORS)
         shared = np.array(sorted(set(k[0]) & set(k[1])), np.uint64)
         assert len(shared)
@@ -74,12 +75,35 @@ def test_bound_is_a_guarantee(spark):
 
 
 def test_hot_buckets_are_divided(spark):
-    """500 signatures that agree in four symbols of one chunk and in nothing else give next to no pairs."""
+    """500 signatures that agree in four symbols of one chunk and in nothing else: their second buckets hold next to no pair."""
     rng = np.random.default_rng(8)
-    minima = rng.integers(0, 2**32, (500, N.PARTS * N.SYMBOLS), dtype=np.uint32)
-    minima[:, 2 * N.SYMBOLS : 2 * N.SYMBOLS + 4] = 7
-    signed = spark.createDataFrame([(i, bytearray(m.tobytes())) for i, m in enumerate(minima)], "r bigint, minima binary")
-    assert N.candidates(signed).count() < 0.01 * 500 * 499 / 2
+    sig = rng.integers(0, 2**16, (500, N.PARTS * N.SYMBOLS), dtype=np.uint16)
+    sig[:, 2 * N.SYMBOLS : 2 * N.SYMBOLS + 4] = 7
+    key = np.array([k for k, n in zip(*np.unique(N._masked(sig, N.ERRORS), return_counts=True)) if n == 500], np.uint64)
+    assert len(key) == 1
+    _, n = np.unique(N._divided(np.repeat(key, 500), sig), return_counts=True)
+    assert (n * (n - 1) // 2).sum() < 0.01 * 500 * 499 / 2
+
+
+def test_a_pair_leaves_one_bucket(spark, monkeypatch):
+    """A dense group gives each of its pairs once, before anything is made distinct."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**16, N.PARTS * N.SYMBOLS, dtype=np.uint16)
+    sig = np.repeat(base[None, :], 40, axis=0)
+    for row in sig:
+        row[rng.choice(len(row), 3, replace=False)] += rng.integers(1, 900, 3, dtype=np.uint16)
+    r, seen = np.arange(40), []
+    keys = N._masked(sig, N.ERRORS)
+    for key in np.unique(keys):
+        at = np.flatnonzero((keys == key).any(axis=1))
+        i, j = N._agreeing(r[at], sig[at], r[at], sig[at])
+        ok = N._first_here(sig[at][i], sig[at][j], np.full(len(i), key).view(np.int64), None)
+        seen += list(zip(at[i[ok]].tolist(), at[j[ok]].tolist()))
+    assert len(seen) == len(set(seen)) == 40 * 39 // 2
+    signed = spark.createDataFrame([(int(i), bytearray(s.tobytes())) for i, s in zip(r, sig)], "r bigint, sig binary")
+    for hot in (2000, 39):
+        monkeypatch.setattr(N, "HOT", hot)
+        assert N.candidates(signed).count() == 40 * 39 // 2
 
 
 def test_groups_and_copies(spark):

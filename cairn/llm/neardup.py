@@ -224,8 +224,8 @@ def candidates(signed: DataFrame) -> DataFrame:
     wide = larger.filter(F.col("n") > min(SMALL, HOT)).join(sig, "r")
     usual = wide.filter(F.col("n") <= HOT).groupBy("key").agg(gathered).mapInArrow(_compare_buckets, "lo bigint, hi bigint")
     found = small.unionByName(usual)
-    hot = wide.filter(F.col("n") > HOT)
-    if not hot.isEmpty():
+    if not larger.filter(F.col("n") > HOT).isEmpty():
+        hot = wide.filter(F.col("n") > HOT)
         second = cut(hot.mapInArrow(_second_keys, "key bigint, first bigint, r bigint, sig binary"))
         sizes = second.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
         block = second.join(sizes, "key").groupBy("key", "first", "blocks", F.pmod(F.hash("r"), "blocks").alias("own")).agg(gathered)

@@ -28,6 +28,14 @@ def fixed(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "
     return rows.select(id_col, "idx", F.col("p.start").alias("start"), F.col("p.chunk").alias("chunk"))
 
 
+def token_chunks(docs: DataFrame, size: int = 500, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Chunks of ``size`` words without overlap: doc_id, idx, chunk (words joined by one space). Null and blank texts give no row."""
+    words = F.split(strip(text), r"[ \t\n\r\x0B\f\x{00A0}\x{3000}]+")
+    rows = docs.filter(F.length(strip(text)) > 0).select(id_col, words.alias("w"))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / size).cast("int") - 1), lambda i: F.array_join(F.slice("w", i * size + 1, F.lit(size)), " "))
+    return rows.select(id_col, F.posexplode(parts).alias("idx", "chunk"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch], f: Callable[[str], list[str]], id_col: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at, idx, out = [], [], []

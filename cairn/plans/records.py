@@ -399,3 +399,12 @@ def _(spark, d):
     select question, unnest(range(1, len(nodes) + 1)) as step, unnest(nodes) as node from n""")
 def _(spark, d):
     return D.steps(LOOP["X16_X19_adaptive_loop"](spark, d))
+
+
+_SPACES = "[ \\t\\n\\r\\x0B\\f\\x{00A0}\\x{3000}]+"
+
+
+@query("C05_token_chunks", f"""with w as (select doc_id, regexp_split_to_array({T % 'text'}, '{_SPACES}') as w from documents where {T % 'text'} <> ''), i as (select doc_id, w, unnest(range(0, cast(ceil(len(w) / 500.0) as bigint))) as idx from w)
+    select doc_id, cast(idx as integer) as idx, array_to_string(w[idx * 500 + 1 : idx * 500 + 500], ' ') as chunk from i""")
+def _(spark, d):
+    return C.token_chunks(table(spark, d, "documents"))

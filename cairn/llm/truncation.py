@@ -21,22 +21,43 @@ UNFINISHED, UNFINISHED_AT_LIMIT, UNFINISHED_SIGNED = 0.05, 0.15, 0.3
 NEIGHBOURS, LIFT, RATE = 4, 2.0, 0.01
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
-# What systems put after a text they cut, and characters that end a sentence.
-SIGNS = re.compile(
-    r"(?:\s*(?:\.{3,}|…+|\[[^\[\]]{1,12}\]?|【[^【】]{1,6}】?|（[^（）]{0,2}[略未续断][^（）]{0,2}）?|"
-    r"\((?:more|cut|cont|truncated|continued)[^()]*\)?|�+|&[a-z#][a-z0-9]{0,5};?|<[a-z/]{0,4}|\\[nu]?[0-9a-f]{0,4}|-{2,}|—+|>{2,}))+\s*$"
-)
+# What systems put after a text they cut (marks with how often they stand at least, short signs, words
+# after a round bracket), and characters that end a sentence.
+RUNS = {".": 3, "…": 1, "\ufffd": 1, "—": 1, "-": 2, ">": 2}
+SHORT_SIGN = re.compile(r"(?:\[[^\[\]]{1,12}\]?|【[^【】]{1,6}】?|（[^（）]{0,2}[略未续断][^（）]{0,2}）?|&[a-z#][a-z0-9]{0,4};?|<[a-z/]{0,4}|\\[nu]?[0-9a-f]{0,4})\Z")
+NOTES = ("more", "cut", "cont", "truncated", "continued")
 STOPS = "。.!?！？"
 BRACKETS = ("()", "（）", "[]", "【】", "「」", "《》")
 # Words whose ellipsis is the author's own.
 OPEN_LISTS = re.compile(r"(?:等等?|\b(?:etc|and so on|and so forth))$")
 
 
+def _sign_start(v: str, end: int) -> int:
+    """Where the sign of a cut that ends at ``end`` begins; ``end`` if there is none."""
+    c, i = v[end - 1], end
+    while i and v[i - 1] == c and c in RUNS:
+        i -= 1
+    if end - i >= RUNS.get(c, 1) and i < end:
+        return i - 1 if i and v[i - 1] in "[【" else i
+    window = v[max(0, end - 14) : end]
+    if m := SHORT_SIGN.search(window):
+        return end - len(window) + m.start()
+    p = v.rfind("(", 0, end)
+    return p if p >= 0 and v.startswith(NOTES, p + 1, end) and v.find(")", p, end - 1) < 0 else end
+
+
 def _bare(value: str) -> tuple[str, bool]:
-    """The value without white space and signs of a cut at its end, and whether it had such a sign."""
+    """The value without white space and signs of a cut at its end, and whether it had such a sign.
+
+    Signs are taken off one by one from the end, so a long text of nothing but marks costs no more than its length.
+    """
     v = value.rstrip(WHITE_SPACE)
-    w = SIGNS.sub("", v).rstrip(WHITE_SPACE)
-    return (w, True) if len(w) < len(v) and w else (v, False)
+    end = len(v)
+    while end and (start := _sign_start(v, end)) < end:
+        end = start
+        while end and v[end - 1] in WHITE_SPACE:
+            end -= 1
+    return (v[:end], True) if 0 < end < len(v) else (v, False)
 
 
 def _ended(bare: str) -> bool:

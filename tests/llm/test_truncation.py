@@ -1,4 +1,5 @@
 import random
+import time
 
 from cairn.llm import truncation as T
 
@@ -66,3 +67,24 @@ def test_empty_and_report(spark):
 
 def test_long_text(spark):
     assert judge(spark, ["x" * 300_000 + ".", "y"]) <= {0, 1}
+
+
+def test_signs_come_off_from_the_end():
+    from cairn.llm.truncation import _bare
+
+    for value, want in [
+        ("cut of...", "cut of"), ("cut of ..", None), ("cut of… [more]", "cut of"), ("cut of [...", "cut of"), ("cut of &am", "cut of"), ("cut of <b", "cut of"),
+        ("cut of (continued on the next page)", "cut of"), ("cut (of)", None), ("cut of\\u00", "cut of"), ("cut of--  ……", "cut of"), ("施工【未完】", "施工"), ("施工（略）", "施工"), ("...", None), ("", None),
+    ]:
+        assert _bare(value) == ((value, False) if want is None else (want, True)), value
+
+
+def test_long_runs_of_marks_end_soon():
+    """A text of marks alone, closed or not, costs in proportion to its length."""
+    from cairn.llm.truncation import _bare
+
+    for unit in (".", "—", "-", "<", "[a", "[---", "&a", "。… "):
+        for end in ("", "x"):
+            start = time.process_time()
+            _bare("ab" + unit * 50_000 + end)
+            assert time.process_time() - start < 5, (unit, end)

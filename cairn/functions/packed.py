@@ -16,6 +16,9 @@ BRACKETS = {"(": ")", "[": "]", "（": "）", "［": "］"}
 WRAPS = {"[": "]", "{": "}", "［": "］", "｛": "｝", "【": "】"}
 
 _SPECIAL = re.compile("[" + re.escape("".join({*QUOTES, *BRACKETS}) + "\\") + "]")
+#: What reading a field stops at: marks, quotes, brackets and backslashes.
+_STEP = re.compile("[" + re.escape("".join({*MARKS, *QUOTES, *BRACKETS}) + "\\") + "]")
+_PAIRS = re.compile(r"\\.|[" + re.escape("".join({*BRACKETS, *BRACKETS.values()})) + "]", re.DOTALL)
 
 
 def _quote_end(s: str, i: int, close: str) -> int:
@@ -34,20 +37,34 @@ def _quote_end(s: str, i: int, close: str) -> int:
     return -1
 
 
-def _bracket_end(s: str, i: int) -> int:
-    """Where the bracket that opens at i ends, or -1. Brackets of the same kind nest."""
-    open_, close, depth = s[i], BRACKETS.get(s[i]) or WRAPS[s[i]], 0
-    while i < len(s):
-        if s[i] == "\\":
-            i += 1
-        elif s[i] == open_:
-            depth += 1
-        elif s[i] == close:
-            depth -= 1
-            if not depth:
-                return i + 1
-        i += 1
-    return -1
+class _Quotes:
+    """Where quotes of one text end. One kind that is once found open to the end is so from every later place, so no text is read again and again."""
+
+    def __init__(self, s: str):
+        self.s, self.open = s, set()
+
+    def end(self, i: int) -> int:
+        """As _quote_end, of the quote at i."""
+        c = self.s[i]
+        if c in self.open:
+            return -1
+        end = _quote_end(self.s, i, QUOTES[c])
+        if end < 0 and QUOTES[c] != c:
+            self.open.add(c)
+        return end
+
+
+def _bracket_ends(s: str) -> dict[int, int]:
+    """Where each bracket that is closed ends (after the closing one). Brackets of the same kind nest."""
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {close: [] for close in BRACKETS.values()}
+    for m in _PAIRS.finditer(s):
+        c = m[0]
+        if c in BRACKETS:
+            waiting[BRACKETS[c]].append(m.start())
+        elif c in waiting and waiting[c]:
+            ends[waiting[c].pop()] = m.end()
+    return ends
 
 
 def unwrap(field: str) -> str:
@@ -55,12 +72,12 @@ def unwrap(field: str) -> str:
     s = field.strip(WHITE_SPACE)
     if len(s) < 2 or WRAPS.get(s[0]) != s[-1]:
         return s
-    i, depth, start = 0, 0, True
+    i, depth, start, quotes = 0, 0, True, _Quotes(s)
     while i < len(s):
         c = s[i]
         if c == "\\":
             i += 1
-        elif start and c in QUOTES and (e := _quote_end(s, i, QUOTES[c])) > 0:
+        elif start and c in QUOTES and (e := quotes.end(i)) > 0:
             i, start = e, False
             continue
         elif c == s[0]:
@@ -98,32 +115,36 @@ def cuts(s: str, seps: str, quoting: bool) -> list[int]:
     """The positions of the separating marks of an unwrapped field."""
     if not _SPECIAL.search(s):
         return [i for i, c in enumerate(s) if c in seps]
-    found, i, start = [], 0, True
-    while i < len(s):
-        c = s[i]
+    ends, quotes = _bracket_ends(s), _Quotes(s)
+    # a value starts at ``start`` if nothing but white space stands before the next mark; -1 within a value
+    found, at, start = [], 0, 0
+    while m := _STEP.search(s, at):
+        i, c = m.start(), m[0]
+        at = i + 1
         if c == "\\":
-            i, start = i + 2, False
-            continue
-        if c in seps:
+            at, start = i + 2, -1
+        elif c in seps:
             found.append(i)
-            start = True
-        elif start and quoting and c in QUOTES and (e := _quote_end(s, i, QUOTES[c])) > 0:
-            i, start = e, False
-            continue
-        elif c in BRACKETS and (e := _bracket_end(s, i)) > 0:
-            i, start = e, False
-            continue
-        elif c not in WHITE_SPACE:
-            start = False
-        i += 1
+            start = at
+        else:
+            if start >= 0:
+                start = -1 if s[start:i].strip(WHITE_SPACE) else i
+            if c in BRACKETS and i in ends:
+                at, start = ends[i], -1
+            elif quoting and start >= 0 and c in QUOTES and (e := quotes.end(i)) > 0:
+                at, start = e, -1
     return found
 
 
+def slots_at(s: str, at: list[int], quoting: bool) -> list[str]:
+    """Every slot's value of an unwrapped field with separators at these places, in order; an empty string for a slot without one."""
+    return [clean(s[a + 1 : b], quoting) for a, b in zip([-1, *at], [*at, len(s)])]
+
+
 def slots(field: str, seps: str, quoting: bool) -> list[str]:
     """Every slot's value, in order; an empty string for a slot without one."""
     s = unwrap(field)
-    at = [-1, *cuts(s, seps, quoting), len(s)]
-    return [clean(s[a + 1 : b], quoting) for a, b in zip(at, at[1:])]
+    return slots_at(s, cuts(s, seps, quoting), quoting)
 
 
 def broken(v: str) -> bool:
@@ -135,16 +156,24 @@ def broken(v: str) -> bool:
     return any(v[-1] == close and open_ not in v[:-1] for open_, close in QUOTES.items())
 
 
-def dialects(field: str) -> Iterator[tuple[str, bool]]:
-    """The dialects of a field: (separating marks, whether quotes enclose values).
+def parses(s: str) -> Iterator[tuple[str, bool, int, list[str]]]:
+    """An unwrapped field read by each of its dialects: separating marks, whether quotes enclose values, marks left standing, slots.
 
     Separators are all subsets of the marks that stand unprotected in it, however many these are; there are no more
-    than len(MARKS).
+    than len(MARKS). Only quotes are read differently under different separators; without them the field is read once.
     """
-    s = unwrap(field)
-    for quoting in (True, False) if any(q in s for q in QUOTES) else (True,):
-        found = {s[i] for i in cuts(s, MARKS, quoting)}
+    quoted = any(q in s for q in QUOTES)
+    for quoting in (True, False) if quoted else (True,):
+        marks = cuts(s, MARKS, quoting)
+        found = {s[i] for i in marks}
         here = "".join(m for m in MARKS if m in found)
         for k in range(len(here) + 1):
             for x in combinations(here, k):
-                yield "".join(x), quoting
+                seps = "".join(x)
+                at = cuts(s, seps, True) if quoted and quoting else [i for i in marks if s[i] in seps]
+                yield seps, quoting, len(marks) - len(at), slots_at(s, at, quoting)
+
+
+def dialects(field: str) -> Iterator[tuple[str, bool]]:
+    """The dialects of a field as (separating marks, whether quotes enclose values)."""
+    return ((seps, quoting) for seps, quoting, _, _ in parses(unwrap(field)))

@@ -24,12 +24,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = 0
     for b in batches:
         for field in b.column("field").to_pylist():
-            bare = packed.unwrap(field)
-            marks = {q: len(packed.cuts(bare, packed.MARKS, q)) for q in (True, False)}
-            for seps, quoting in packed.dialects(field):
-                values = packed.slots(field, seps, quoting)
+            for seps, quoting, stray, values in packed.parses(packed.unwrap(field)):
                 # what the dialect itself costs; one that tears a quote apart explains nothing and spells the field out
-                stray = marks[quoting] - (len(values) - 1)
                 quotes = sum((v[0] in packed.QUOTES) + (v[-1] in packed.QUOTES.values()) for v in values if len(v) > 1)
                 own = SEPARATOR_BITS * len(seps) + STRAY_BITS * (max(0, stray) + quotes)
                 own += CHARACTER_BITS * len(field) * sum(map(packed.broken, values))

@@ -101,3 +101,14 @@ def test_all_subsets_of_marks():
 def test_long_field_with_all_marks(spark):
     field = "".join(f"v{i % 40}{P.MARKS[i % 6]}" for i in range(400))
     assert {v for _, _, v in rows(spark, [field] + [f"v{i}" for i in range(40)] * 3)} >= {f"v{i}" for i in range(40)}
+
+
+def test_unclosed_brackets_and_quotes_in_long_fields():
+    """What never closes is found once, not from every opening anew."""
+    n = 200_000
+    for unit in ("(", "“a,", "[(", "（;", "「x|"):
+        field = unit * n
+        marks = [i for i, c in enumerate(field) if c in P.MARKS]
+        assert P.cuts(field, P.MARKS, True) == marks
+        assert P.unwrap(field) == field
+    assert P.cuts("(" * n + "a,b)" + ",c", ",", True) == [n + 4]

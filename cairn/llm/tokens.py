@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.shared import cut, spread
+from cairn.functions.text import WHITE_SPACE
 
 # Fixed value: the pattern by which byte_bpe_50k divides a text into pieces before merging bytes within each.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -30,6 +32,8 @@ BYTE_BPE_50K = Tokenizer("/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 #: Bytes that one rolling hash covers, and the mean length of a chunk in bytes as a power of two.
 WINDOW, CHUNK_BITS = 16, 8
+#: White space in one run beyond which the tokenizer's pattern would run out of its stack; and a run of it.
+LONG_RUN, _RUN = 100_000, re.compile(f"[{WHITE_SPACE}]+")
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
@@ -138,11 +142,11 @@ def _encode_cores(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> It
             for c in cores:
                 if _valid(c, raw):
                     h.append(c["h"])
-                    ids.append(array("i", enc.encode_ordinary(raw[c["start"] : c["start"] + c["len"]].decode())).tobytes())
+                    ids.append(array("i", _encode(enc, raw[c["start"] : c["start"] + c["len"]].decode())).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(ids, pa.binary())], names=["h", "ids"])
 
 
-def _encode(enc, text: str, most: int = 1 << 20) -> list[int]:
+def _encode_bounded(enc, text: str, most: int) -> list[int]:
     """The ids of a text; a very long one is encoded in parts that end at safe points, to bound memory."""
     if len(text) <= most:
         return enc.encode_ordinary(text)
@@ -155,6 +159,24 @@ def _encode(enc, text: str, most: int = 1 << 20) -> list[int]:
     return out
 
 
+def _encode(enc, text: str, most: int = 1 << 20, long_run: int = LONG_RUN) -> list[int]:
+    """The ids of a text of any length and content.
+
+    White space of more than ``long_run`` characters in a row is merged apart from the pattern: all of it is one piece at
+    the text's end, elsewhere all but its last character, which belongs to what follows.
+    """
+    if len(text) <= long_run:
+        return enc.encode_ordinary(text)
+    out, last = [], 0
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() > long_run:
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += _encode_bounded(enc, text[last : m.start()], most)
+            out += enc._encode_single_piece(text[m.start() : end])
+            last = end
+    return out + _encode_bounded(enc, text[last:], most)
+
+
 def _assemble(batches: Iterator[pa.RecordBatch], tokenizer: Tokenizer) -> Iterator[pa.RecordBatch]:
     """Ids of whole documents: shared cores as they were encoded, what joins them re-encoded from the text."""
     enc = encoder(tokenizer)

@@ -88,3 +88,19 @@ def test_another_vocabulary_of_the_pattern(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.ids for r in T.encode_corpus(df, tokenizer=other).collect()}
     assert got == {i: T.encoder(other).encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+
+
+def test_long_runs_of_white_space(spark):
+    """White space that the pattern alone couldn't read, within, before and after text, and the same as whole-text encoding where that ends."""
+    from cairn.llm.tokens import BYTE_BPE_50K, _encode, encode_corpus, encoder
+
+    enc = encoder(BYTE_BPE_50K)
+    for t in (" " * 40 + "x", "a" + "\n " * 30 + "b c", "x" + "\t" * 50, "　" * 30 + "施工", "a " + " " * 30 + "\x1c."):
+        for run in (1, 7, 29):
+            assert _encode(enc, t, 4, run) == enc.encode_ordinary(t)
+    n = 1_200_000
+    rows = [(1, "ab" + " " * n + "cd"), (2, "\n" * n), (3, "ab" + " " * n + "cd"), (4, " " * n + "cd")]
+    got = {r.doc_id: r.ids for r in encode_corpus(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, t in rows:
+        assert enc.decode(got[k]) == t
+    assert got[1] == got[3] == [*enc.encode_ordinary("ab"), *enc._encode_single_piece(" " * (n - 1)), *enc.encode_ordinary(" cd")]

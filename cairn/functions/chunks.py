@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
 from cairn.functions.text import WHITE_SPACE
 
@@ -55,22 +56,21 @@ def recursive(text: str, size: int, overlap: int, marks: tuple[str, ...] = ("\n\
     rest = marks[marks.index(mark) + 1 :]
     pieces = list(text) if mark == "" else [p for p in text.split(mark) if p]
     out: list[str] = []
-    held: list[str] = []
-
-    def total(x: list[str]) -> int:
-        return sum(map(len, x)) + len(mark) * max(0, len(x) - 1)
-
+    held: deque[str] = deque()
+    total = 0  # characters held, marks between them counted
     for p in pieces:
         if len(p) > size:
             if held:
                 out.append(mark.join(held))
-                held = []
+                held.clear()
+                total = 0
             out += recursive(p, size, overlap, rest)
             continue
-        if held and total([*held, p]) > size:
+        if held and total + len(mark) + len(p) > size:
             out.append(mark.join(held))
-            while held and (total(held) > overlap or total([*held, p]) > size):
-                held.pop(0)
+            while held and (total > overlap or total + len(mark) + len(p) > size):
+                total -= len(held.popleft()) + (len(mark) if held else 0)
+        total += len(p) + (len(mark) if held else 0)
         held.append(p)
     if held:
         out.append(mark.join(held))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.fields import RULE_ROW, clean_table, first_rule_only, normal_header, without_headings, without_prefix
+from cairn.functions.fields import RULE_ROW_AT_ONCE, clean_table, first_rule_only, normal_header, without_headings, without_prefix
 from cairn.functions.text import squeeze, strip
 from cairn.operators.ranking import top_per_group
 
@@ -133,7 +133,7 @@ def renumbered(chunks: DataFrame, by: Sequence[str], order: Sequence[str]) -> Da
 
 def cells(markdown: Column) -> Column:
     """The cells of a table in markdown, row by row, rule rows left out."""
-    rows = F.filter(F.transform(F.split(markdown, "\n"), strip), lambda r: r.startswith("|") & ~r.rlike(RULE_ROW))
+    rows = F.filter(F.transform(F.split(markdown, "\n"), strip), lambda r: r.startswith("|") & ~r.rlike(RULE_ROW_AT_ONCE))
     return F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\||\|$", ""), r"\|"), strip))
 
 

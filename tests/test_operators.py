@@ -190,3 +190,23 @@ def test_history_over_parts(spark):
     assert got["a", 0] == "" and got["a", 1] == "t0"
     assert all(got["a", i] == f"t{i - 2} | t{i - 1}" for i in range(2, 10))
     assert got["b", 9] == "x" and got["b", 10] == "x"
+
+
+def test_very_wide_table_rows(spark):
+    """Rows of tens of thousands of cells or line breaks are read like short ones."""
+    from cairn.functions.fields import clean_table, first_rule_only
+
+    n = 30_000
+    rule = "|---" * n + "|"
+    t = f"| a |\n{rule}\n{rule}\n| " + "<br/>" * n + " |\n| x |"
+    row = spark.createDataFrame([(t,)], "t string").repartition(1).select(first_rule_only("t").alias("a"), clean_table("t").alias("b")).first()
+    assert row.a.count("\n") == 3 and row.a.startswith(f"| a |\n{rule}\n| <br/>")
+    assert row.b == f"| a |\n{rule}\n{rule}\n| x |"
+
+
+def test_recursive_chunks_of_a_text_without_marks():
+    from cairn.functions.chunks import recursive
+
+    out = recursive("0123456789" * 30_000, 4000, 400)
+    assert all(len(x) == 4000 for x in out[:-1]) and all(a[-400:] == b[:400] for a, b in zip(out, out[1:]))
+    assert len(out) == 84

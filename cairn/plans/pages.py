@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions import fields as X
 from cairn.functions.text import WHITE_SPACE
 from cairn.operators import tables as B
 from cairn.plans.documents import _TABLES
@@ -24,7 +25,7 @@ _MD = f"list_filter(string_split(content, chr(10)), lambda x: starts_with({T % '
 _CHUNKS = f"""{_PAGES}, lines as (select * exclude (content), content as whole, array_to_string({_MD}, chr(10)) as content from pages), cleaned as (select * exclude (content), array_to_string({_KEPT}, chr(10)) as markdown from lines),
     chunks as (select *, concat_ws(chr(10), '【' || nullif(stage, '') || '】', '第' || (page_idx + 1) || '页表格', markdown) as chunk_text,
         concat_ws(chr(10), coalesce('## 【' || nullif(stage, '') || ' - 第' || (page_idx + 1) || '页】' || chr(10), '## 第' || (page_idx + 1) || '页表格' || chr(10)), markdown) as chunk_content,
-        substr(md5(coalesce(headers, '') || '|' || coalesce(stage, '')), 1, 12) as group_id, coalesce(len(list_filter(string_split(nullif(markdown, ''), chr(10)), lambda x: not regexp_matches(x, '{B.RULE_ROW}'))), case when markdown is not null then 0 end) as n_rows from cleaned)"""
+        substr(md5(coalesce(headers, '') || '|' || coalesce(stage, '')), 1, 12) as group_id, coalesce(len(list_filter(string_split(nullif(markdown, ''), chr(10)), lambda x: not regexp_matches(x, '{X.RULE_ROW}'))), case when markdown is not null then 0 end) as n_rows from cleaned)"""
 
 
 def _pages(spark, d):
